@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, line_dedup, quality_rules, url_filter
+from tidemark.llm import decontam, line_dedup, quality_rules, url_filter, warc
+from tidemark.llm.common import shared_folder
 from tidemark.llm.url_filter import UrlRule
 
 
@@ -40,8 +41,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    warc.write(_table(spark, sf_dir, "pages"), f"{folder}/monolithic")
+    archives = warc.normalise(spark, f"{folder}/monolithic", f"{folder}/normalised")
+    return warc.read(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op4_benchmark_decontamination, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op4_benchmark_decontamination, op8_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
