@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, line_dedup, quality_rules, url_filter, warc
+from tidemark.llm import decontam, license_scan, line_dedup, quality_gbt, quality_rules, sentencepiece_codec, url_filter, warc
 from tidemark.llm.common import shared_folder
 from tidemark.llm.url_filter import UrlRule
 
@@ -16,6 +17,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The vocabulary file of a public tokenizer; TIDEMARK_TOKENIZER names another.
+TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 URL_RULES = [UrlRule("allow", "com/"), UrlRule("block", "example.com/en/"), UrlRule("allow", "www.example.com/en/"), UrlRule("block", "net/es/"), UrlRule("block", "net/fr/")]
 
 
@@ -36,11 +39,35 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return judged.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs)
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best_license", F.round("best_dice", 6).alias("best_dice"), "n_passages")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_codec.Pieces.load(TOKENIZER)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_gbt.classify(docs, _table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     warc.write(_table(spark, sf_dir, "pages"), f"{folder}/monolithic")
@@ -49,7 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op4_benchmark_decontamination, op8_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op4_benchmark_decontamination, op5_license_scans, op7_sentencepiece, op8_quality_rules, op9_quality_classifier, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
