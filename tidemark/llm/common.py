@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word and line rules: space and U+0009 to U+000D.
 SPACE = r"[ \t-\r]"
-#: Characters on which lower() may differ from lower-casing A-Z alone.
-_CASED = r"[^\x00-\x7F -¿ß-ÿ -⁯]"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters on which lower() does what lower-casing A-Z alone does.
+_SAFE = "\\x00-\\x7F\\xA0-\\xBF\\xDF-\\xFF\\u2000-\\u206F"
 _local: dict[str, str] = {}
 
 
@@ -45,8 +44,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z and nothing else. The fast lower() serves texts that hold no other cased character."""
-    return F.when(text.rlike(_CASED), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+    """A-Z to a-z and nothing else. lower() takes the whole text or, where other cased characters may occur, the runs between them."""
+    runs = F.regexp_extract_all(text, F.lit(f"[{_SAFE}]+|[^{_SAFE}]+"), F.lit(0))
+    mixed = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(f"^[{_SAFE}]"), F.lower(x)).otherwise(x)), "")
+    return F.when(text.rlike(f"[^{_SAFE}]"), mixed).otherwise(F.lower(text))
 
 
 def words(text: Column) -> Column:

@@ -28,8 +28,9 @@ MIN_CODE_POINTS = 10
 KEY = ["h1", "h2"]
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
+def line_key(lowered: Column) -> Column:
+    """Key of a line whose A-Z are lower-cased already."""
+    return F.btrim(lowered, F.lit(" \t\n\x0b\x0c\r"))
 
 
 class LineRuns:
@@ -87,7 +88,7 @@ def add_batch(runs: LineRuns, lines: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """Lines of docs (doc_id, text) whose key is long enough: (doc_id, tag, pos, h1, h2). tag: a hash of the text, as rows may share a doc_id."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("pos", "line"))
     keys = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= MIN_CODE_POINTS)
     return keys.select("doc_id", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
