@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, license_scan, line_dedup, quality_gbt, quality_rules, sentencepiece_codec, url_filter, warc
+from tidemark.llm import decontam, license_scan, line_dedup, ngram_join, quality_gbt, quality_rules, sentencepiece_codec, url_filter, warc
 from tidemark.llm.common import shared_folder
 from tidemark.llm.url_filter import UrlRule
 
@@ -32,6 +32,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = decontam.judge(docs, _table(spark, sf_dir, "benchmark"))
@@ -76,7 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op4_benchmark_decontamination, op5_license_scans, op7_sentencepiece, op8_quality_rules, op9_quality_classifier, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_license_scans, op7_sentencepiece, op8_quality_rules, op9_quality_classifier, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

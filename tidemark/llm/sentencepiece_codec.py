@@ -31,27 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.hashing import P, Q, mixed, powers, ragged
+
 MARK = "▁"
 CHUNK = 1 << 21
 LONG = 64
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xF1DE83E19937733D)  # odd, inverse to each other modulo 2**64
 _N = 0x110000
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 def _hashes(codes: np.ndarray) -> np.ndarray:
     """h, so that (h[j] - h[i]) * Q**i identifies codes[i:j]."""
-    terms = _mixed((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * _powers(_P, len(codes))
+    terms = mixed((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * powers(P, len(codes))
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
 
 
@@ -59,12 +49,6 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices starts[k], starts[k] + 1, ... for each k, one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 @dataclass
 class Pieces:
     """A model's vocabulary, in arrays."""
@@ -185,10 +169,10 @@ class Pieces:
         """As bpe(), by the best sum of scores; ties prefer the longer last piece. An unknown character costs 10 below the worst score."""
         n, m = codes.shape
         h = np.zeros((n, m + 1), np.uint64)
-        terms = _mixed((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * _powers(_P, m)
+        terms = mixed((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * powers(P, m)
         np.cumsum(terms, axis=1, dtype=np.uint64, out=h[:, 1:])
         best, back, last = np.full((n, m + 1), -np.inf), np.zeros((n, m + 1), np.int32), np.zeros((n, m + 1), np.int32)
-        best[:, 0], worst, inverse = 0, float(self.scores.min(initial=0)) - 10, _powers(_Q, m + 1)
+        best[:, 0], worst, inverse = 0, float(self.scores.min(initial=0)) - 10, powers(Q, m + 1)
         for end in range(1, m + 1):
             starts = np.arange(max(0, end - self.longest), end)
             key = (h[:, [end]] - h[:, starts]) * inverse[starts]
@@ -243,8 +227,8 @@ class Pieces:
         begin = self.segments(codes, bounds[:-1])
         length = np.diff(np.append(begin, len(codes)))
         h = _hashes(codes)
-        key = (h[begin + length] - h[begin]) * _powers(_Q, len(codes))[begin]
-        _, first, inverse = np.unique(_mixed(key + length.astype(np.uint64)), return_index=True, return_inverse=True)
+        key = (h[begin + length] - h[begin]) * powers(Q, len(codes))[begin]
+        _, first, inverse = np.unique(mixed(key + length.astype(np.uint64)), return_index=True, return_inverse=True)
         at, size = begin[first], length[first]
         owner, parts = [], []  # distinct segment of each run of ids, and the runs
         for n in np.unique(size):
@@ -268,7 +252,7 @@ class Pieces:
         flat = np.concatenate(parts).astype(np.int32)
         place, n_ids = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
         place[who], n_ids[who] = np.cumsum(count) - count, count
-        ids = flat[_ragged(place[inverse], n_ids[inverse])]
+        ids = flat[ragged(place[inverse], n_ids[inverse])]
         per_segment = np.concatenate([[0], np.cumsum(n_ids[inverse])])
         return ids, per_segment[np.searchsorted(begin, bounds)]
 
@@ -280,7 +264,7 @@ class Pieces:
             self._n_bytes = np.array([len(x) for x in raw])
             self._at, self._bytes = np.cumsum(self._n_bytes) - self._n_bytes, np.frombuffer(b"".join(raw), np.uint8)
         n = self._n_bytes[ids]
-        data = self._bytes[_ragged(self._at[ids], n)].tobytes()
+        data = self._bytes[ragged(self._at[ids], n)].tobytes()
         ends = np.concatenate([[0], np.cumsum(n)])[offsets].tolist()
         texts = (data[a:b] for a, b in zip(ends, ends[1:], strict=False))
         return [(t[1:] if self.dummy_prefix and t[:1] == b" " else t).decode("utf-8", "replace") for t in texts]
