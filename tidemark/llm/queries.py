@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, license_scan, line_dedup, ngram_join, quality_gbt, quality_rules, sentencepiece_codec, url_filter, warc
+from tidemark.llm import decontam, license_scan, line_dedup, ngram_join, quality_gbt, quality_rules, sentencepiece_codec, substring_dedup, url_filter, warc
 from tidemark.llm.common import shared_folder
 from tidemark.llm.url_filter import UrlRule
 
@@ -49,6 +49,11 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best_license", F.round("best_dice", 6).alias("best_dice"), "n_passages")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_codec.Pieces.load(TOKENIZER)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,7 +85,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_license_scans, op7_sentencepiece, op8_quality_rules, op9_quality_classifier, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_license_scans, op6_substring_dedup, op7_sentencepiece, op8_quality_rules, op9_quality_classifier, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
