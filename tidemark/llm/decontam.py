@@ -105,9 +105,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
     rows = rows.join(found, rows["doc_id"].eqNullSafe(found["__doc"]) & rows["__own"].eqNullSafe(found["__tag"]), "left")
     # The lambda binds the words once, however often they are used.
     judged = F.get(F.transform(F.array(terms(F.col("text"))), lambda w: _judged(w, F.col("__found"))), F.lit(0))
-    rows = rows.select(*rest, judged.alias("__j"))
-    hit, n = F.col("__j.n_hit"), F.col("__j.n_words")
-    return rows.select(*rest, "__j.n_words", "__j.n_hit", "__j.item_ids", ((hit > 0) & (share * hit >= n)).alias("contaminated"))
+    # A generator's output isn't copied into filters above it, so each document is judged once.
+    rows = rows.select(*rest, F.inline(F.array(judged)))
+    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

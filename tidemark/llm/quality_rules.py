@@ -87,7 +87,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…"))),
         "n_bullet_lines": F.size(F.filter(lines, lambda x: x.startswith("- ") | x.startswith("* ") | x.startswith("•"))),
     }
-    return df.select(*kept, *(c.cast("bigint").alias(k) for k, c in counts.items()))
+    # As a generator's output the counts can't be copied into filters below, where lambdas would split the text again and again.
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.cast("bigint").alias(k) for k, c in counts.items())))))
 
 
 def violated(rules: tuple[Rule, ...] = RULES) -> Column:

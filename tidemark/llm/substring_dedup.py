@@ -52,7 +52,7 @@ def _batch(unit: list | np.ndarray, part: list | np.ndarray, kind: int, a: list,
 def _cut(data: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """data cut at ends, as bytes."""
     raw, size = data.tobytes(), data.dtype.itemsize * int(np.prod(data.shape[1:], dtype=int))
-    return [raw[size * a : size * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return [raw[size * a : size * b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
 
 class Unit:
