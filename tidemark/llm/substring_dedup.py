@@ -36,7 +36,7 @@ from tidemark.llm.hashing import P, Q, Words, mixed, powers, ragged, words_of
 
 WINDOW, GRAM = FMIndex.DEPTH, 5
 UNIT = 1 << 23  # bytes of text
-_LOW, _NONE = np.uint64((1 << 48) - 1), np.uint64(2**64 - 1)
+_LOW, _NONE = np.uint64((1 << 40) - 1), np.uint64(2**64 - 1)
 _NO_ID = np.iinfo(np.int64).max
 _ROW = "unit long, part int, kind int, a binary, b binary, c binary"
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
@@ -127,7 +127,7 @@ def units(docs: DataFrame, n_parts: int) -> DataFrame:
                 last = max(first + 1, int(np.searchsorted(size, held + UNIT, side="right")))
                 rows = batch.slice(first, last - first)
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as stream:
                     stream.write_batch(rows)
                 yield _batch([unit], [0], TEXTS, [sink.getvalue().to_pybytes()])
                 key, count = np.unique(Unit(rows["text"]).key, return_counts=True)
@@ -135,7 +135,7 @@ def units(docs: DataFrame, n_parts: int) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 some, ends = np.unique(part, return_counts=True)
                 ends = np.cumsum(ends)
-                yield _batch([unit] * len(some), some, KEYS, _cut(_packed(key[order] & _LOW, 6), ends), _cut((count[order] > 1).astype(np.uint8), ends))
+                yield _batch([unit] * len(some), some, KEYS, _cut(_packed(key[order] & _LOW, 5), ends), _cut((count[order] > 1).astype(np.uint8), ends))
                 unit, first = unit + 1, last
 
     return written(docs.mapInArrow(run, _ROW))
@@ -144,13 +144,13 @@ def units(docs: DataFrame, n_parts: int) -> DataFrame:
 def _count(table: pa.Table) -> pa.Table:
     """One hash range of minimisers: those that occur twice or more go back to their units."""
     blobs = table["a"].to_pylist()
-    ends = np.cumsum([len(b) // 6 for b in blobs])
-    low = _unpacked(blobs, 6)
+    ends = np.cumsum([len(b) // 5 for b in blobs])
+    low = _unpacked(blobs, 5)
     many = np.frombuffer(b"".join(table["b"].to_pylist()), np.uint8)
     _, run = np.unique(low, return_inverse=True)
     twice = (np.bincount(run) + np.bincount(run, many))[run] > 1
     kept = np.concatenate([[0], np.cumsum(twice)])[ends]
-    return pa.Table.from_batches([_batch(table["unit"].to_pylist(), table["part"].to_pylist(), SHARED, _cut(_packed(low[twice], 6), kept))])
+    return pa.Table.from_batches([_batch(table["unit"].to_pylist(), table["part"].to_pylist(), SHARED, _cut(_packed(low[twice], 5), kept))])
 
 
 def _rows(table: pa.Table) -> pa.RecordBatch:
@@ -163,11 +163,11 @@ def _segments_of(n_parts: int):
         rows = _rows(table)
         unit, u = table["unit"][0].as_py(), Unit(rows["text"])
         shared = table.filter(pa.compute.equal(table["kind"], SHARED))
-        parts = np.repeat(shared["part"].to_numpy(), [len(b) // 6 for b in shared["a"].to_pylist()]).astype(np.uint64)
-        shared = _unpacked(shared["a"].to_pylist(), 6) | (parts << np.uint64(48))
+        parts = np.repeat(shared["part"].to_numpy(), [len(b) // 5 for b in shared["a"].to_pylist()]).astype(np.uint64)
+        shared = _unpacked(shared["a"].to_pylist(), 5) | (parts << np.uint64(40))
         part = _parts(u.key, n_parts)
         doc = rows["doc_id"].fill_null(_NO_ID).to_numpy(zero_copy_only=False)[u.text]
-        live = np.flatnonzero(np.isin((u.key & _LOW) | (part.astype(np.uint64) << np.uint64(48)), shared) & (doc != _NO_ID))
+        live = np.flatnonzero(np.isin((u.key & _LOW) | (part.astype(np.uint64) << np.uint64(40)), shared) & (doc != _NO_ID))
         # Distinct segments by shard; each shard's row lists them in this order.
         one, first, inverse = np.unique(u.content[live], return_index=True, return_inverse=True)
         order = np.argsort(part[live][first], kind="stable")
@@ -181,7 +181,7 @@ def _segments_of(n_parts: int):
         symbols = hashes[ragged(u.start[pick], windows + WINDOW - 1)] >> np.uint64(24)
         some, count = np.unique(part[pick], return_counts=True)
         ends = np.cumsum(count)
-        layout = np.stack([u.text[live], u.start[live], place[inverse]]).astype(np.int32)
+        layout = np.stack([np.diff(u.text[live], prepend=0), np.diff(u.start[live], prepend=0), place[inverse]]).astype(np.int32)
         sizes = np.stack([some, count]).astype(np.int32)
         out = [_batch([unit], [unit % n_parts], LAYOUT, [layout.tobytes()], [windows.astype(np.uint8).tobytes()], [sizes.tobytes()])]
         if len(some):
@@ -221,7 +221,10 @@ def _match(table: pa.Table) -> pa.Table:
         found[ends[: len(classes)] - 1 - j] = by_class[classes]
     out = found[ragged((ends - n)[inverse], windows)]
     cuts = np.cumsum(windows)[np.cumsum([len(b) for b in blobs]) - 1]
-    return pa.concat_tables([layouts.cast(pa.Table.from_batches([_batch([], [], 0, [])]).schema), pa.Table.from_batches([_batch(table["unit"].to_pylist(), table["part"].to_pylist(), OWNERS, _cut(out, cuts))])])
+    # Steps from one owner to the next, most of which are 0, compress well.
+    step = np.diff(out, prepend=0)
+    step[np.append(0, cuts[:-1])] = out[np.append(0, cuts[:-1])]
+    return pa.concat_tables([layouts.cast(pa.Table.from_batches([_batch([], [], 0, [])]).schema), pa.Table.from_batches([_batch(table["unit"].to_pylist(), table["part"].to_pylist(), OWNERS, _cut(step, cuts))])])
 
 
 def _apply_to(names: list[str]):
@@ -232,11 +235,12 @@ def _apply_to(names: list[str]):
         layout = table.filter(pa.compute.equal(table["kind"], LAYOUT))
         if layout.num_rows:
             text, start, place = np.frombuffer(layout["a"][0].as_py(), np.int32).reshape(3, -1).astype(np.int64)
+            text, start = np.cumsum(text), np.cumsum(start)
             windows = np.frombuffer(layout["b"][0].as_py(), np.uint8).astype(np.int64)
             some, _ = np.frombuffer(layout["c"][0].as_py(), np.int32).reshape(2, -1)
             owners = table.filter(pa.compute.equal(table["kind"], OWNERS))
             by_part = dict(zip(owners["part"].to_pylist(), owners["a"].to_pylist(), strict=True))
-            owner = np.frombuffer(b"".join(by_part[p] for p in some.tolist()), np.int64)
+            owner = np.concatenate([np.cumsum(np.frombuffer(by_part[p], np.int64)) for p in some.tolist()]) if len(some) else np.zeros(0, np.int64)
             n = windows[place]
             doc = rows["doc_id"].fill_null(_NO_ID).to_numpy(zero_copy_only=False)[text]
             lost = owner[ragged((np.cumsum(windows) - windows)[place], n)] < np.repeat(doc, n)
