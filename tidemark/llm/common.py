@@ -44,10 +44,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z and nothing else. lower() takes the whole text or, where other cased characters may occur, the runs between them."""
+    """A-Z to a-z and nothing else. lower() takes ASCII texts whole, and of others, where more cased characters occur, the runs between these."""
     runs = F.regexp_extract_all(text, F.lit(f"[{_SAFE}]+|[^{_SAFE}]+"), F.lit(0))
     mixed = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(f"^[{_SAFE}]"), F.lower(x)).otherwise(x)), "")
-    return F.when(text.rlike(f"[^{_SAFE}]"), mixed).otherwise(F.lower(text))
+    return F.when((F.octet_length(text) > F.length(text)) & text.rlike(f"[^{_SAFE}]"), mixed).otherwise(F.lower(text))
 
 
 def words(text: Column) -> Column:
