@@ -39,8 +39,8 @@ TEMPLATES = {
 
 
 def normalised(text: Column) -> Column:
-    """Lower-cased words: letters and digits of any script, and dots between digits."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"(?<![0-9])\.|\.(?![0-9])", " "), r"[^\p{L}\p{N}.]+"), "")
+    """Lower-cased words: runs of letters and digits of any script."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def bigrams(words: Column) -> Column:

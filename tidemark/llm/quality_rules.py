@@ -82,7 +82,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": covered,
         "n_lines": F.size(lines),
         "n_exclaims": _without(body, r"[^!]+"),
-        "n_upper_words": F.size(F.filter(w, lambda x: (F.upper(x) == x) & (F.lower(x) != x) & (F.length(x) > 1))),
+        "n_upper_words": F.size(F.filter(w, lambda x: (F.length(x) > 1) & x.rlike(r"\p{Lu}") & ~x.rlike(r"\p{Ll}"))),
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
         "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…"))),
         "n_bullet_lines": F.size(F.filter(lines, lambda x: x.startswith("- ") | x.startswith("* ") | x.startswith("•"))),

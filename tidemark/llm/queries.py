@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, license_scan, line_dedup, ngram_join, quality_gbt, quality_rules, sentencepiece_codec, substring_dedup, url_filter, warc
+from tidemark.llm import decontam, license_scan, line_dedup, ngram_join, oracle, quality_gbt, quality_rules, sentencepiece_codec, substring_dedup, url_filter, warc
 from tidemark.llm.common import shared_folder
 from tidemark.llm.url_filter import UrlRule
 
@@ -89,4 +89,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can't express op7 (a tokenizer) and op9 (a fitted model); tests hold these to the tokenizer's library and to held-out accuracy."""
+    return {
+        "op1_line_dedup": oracle.line_dedup(),
+        "op2_url_filters": oracle.url_filter(URL_RULES),
+        "op3_ngram_jaccard_join": oracle.ngram_join(),
+        "op4_benchmark_decontamination": oracle.decontamination(),
+        "op5_license_scans": oracle.license_scan(),
+        "op6_substring_dedup": oracle.substring_dedup(),
+        "op8_quality_rules": oracle.quality_rules(),
+        "op10_warc": oracle.warc(),
+    }
