@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _PART = re.compile(r"\{\{|\}\}|\{([A-Za-z_][A-Za-z0-9_]*)(?::([^{}]*))?\}")
 
@@ -32,27 +33,25 @@ def placeholders(template: str) -> list[str]:
 
 
 def _plain(x: float, kind: type) -> str:
-    if np.isnan(x):
-        return "NaN"
     if np.isinf(x):
         return "inf" if x > 0 else "-inf"
     return np.format_float_positional(kind(x), unique=True, trim="-")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _shortest_double(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: _plain(x, np.float64), na_action="ignore")
+    return pd.Series([None if np.isnan(x) else _plain(x, np.float64) for x in v], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _shortest_float(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: _plain(x, np.float32), na_action="ignore")
+    return pd.Series([None if np.isnan(x) else _plain(x, np.float32) for x in v], dtype=object)
 
 
 def _fixed(digits: int):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: f"{x:.{digits}f}" if np.isfinite(x) else _plain(x, np.float64), na_action="ignore")
+        return pd.Series([None if np.isnan(x) else f"{x:.{digits}f}" if np.isfinite(x) else _plain(x, np.float64) for x in v], dtype=object)
 
     return run
 
@@ -65,6 +64,7 @@ def formatted(value: Column, kind: str, spec: str = "") -> Column:
     align, width, digits = m[1], int(m[2] or 0), m[3]
     if kind in ("float", "double"):
         out = _fixed(int(digits))(value.cast("double")) if digits is not None else (_shortest_float if kind == "float" else _shortest_double)(value)
+        out = F.when(F.isnan(value), "NaN").otherwise(out)  # in pandas null and NaN are one
     elif digits is not None:
         out = F.substring(value.cast("string"), 1, int(digits))
     else:

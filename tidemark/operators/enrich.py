@@ -10,8 +10,6 @@ from tidemark.functions.scalars import as_double, outside, state_code
 from tidemark.model import ALARM, NORMAL, SEVERITIES, WARNING, label
 from tidemark.schema import Dimensions, Schema
 
-NO_TAGS = F.array().cast("array<string>")
-
 
 def severity(bounds: dict[str, Column] | None = None) -> Column:
     """Severity code of a sample; null if the metric is unknown. Undeclared states and blobs are normal."""
@@ -51,7 +49,7 @@ def enriched(entries: DataFrame, namespaces: DataFrame, dims: Dimensions) -> Dat
     """All of it: one scan, broadcast joins with what the schemas declare, one projection."""
     out = entries.join(namespaces.select("namespace", "schema_name"), "namespace", "left")
     out = spans(samples(messages(out, dims), dims), dims)
-    return out.withColumn("tags", F.coalesce("event_tags", "metric_tags", NO_TAGS)).drop("event_tags", "metric_tags")
+    return out.withColumn("tags", F.coalesce("event_tags", "metric_tags", F.array().cast("array<string>"))).drop("event_tags", "metric_tags")
 
 
 def texts(entries: DataFrame, schemas: list[Schema], language: str, fields: str = "fields") -> DataFrame:

@@ -16,6 +16,8 @@ from tidemark.plans import query as plan
 from tidemark.plans.query import NEWEST, Query
 from tidemark.schema import Schema, dimensions
 
+#: Namespaces that a pushed predicate names at most; with more of them levels are filtered after the join alone.
+MOST_NAMES = 1000
 DAMAGE = "path string, offset bigint, reason string"
 
 
@@ -59,6 +61,12 @@ class Reader:
         self.dims = dimensions(self.spark, schemas)
         self.anchors = F.broadcast(timeline.anchors(store.runs, store.hw_boots))
 
+    @cached_property
+    def known(self) -> list[str] | None:
+        """Namespaces with a schema at hand, for predicates on them; None if they are too many for one."""
+        rows = self.store.namespaces.where(F.col("schema_name").isin(*(s.name for s in self.schemas))).select("namespace").limit(MOST_NAMES + 1).collect()
+        return sorted(r.namespace for r in rows) if len(rows) <= MOST_NAMES else None
+
     def schema_of(self, namespace: str) -> Schema | None:
         row = self.store.namespaces.where(F.col("namespace") == namespace).first()
         return next((s for s in self.schemas if row and s.name == row["schema_name"]), None)
@@ -77,7 +85,7 @@ class Reader:
 
     def selected(self, q: Query) -> DataFrame:
         """Stored records that q may return: every predicate here is on stored columns and reaches the scan."""
-        return self._own(self.store.entries).where(plan.place(q)).where(plan.relative_window(q)).where(plan.kind_filter(q)).where(plan.pushed_ids(q, self.schemas))
+        return self._own(self.store.entries).where(plan.place(q)).where(plan.relative_window(q)).where(plan.kind_filter(q)).where(plan.pushed_ids(q, self.schemas, self.known if q.level is not None else None))
 
     def matched(self, q: Query) -> DataFrame:
         """Enriched records that q selects, in no order."""

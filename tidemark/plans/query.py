@@ -177,18 +177,20 @@ def kind_filter(q: Query) -> Column:
     return out
 
 
-def pushed_ids(q: Query, schemas: list[Schema]) -> Column:
-    """A predicate on stored columns that keeps whatever declared() may keep. Ids stand for the schemas' properties."""
+def pushed_ids(q: Query, schemas: list[Schema], known: list[str] | None = None) -> Column:
+    """A predicate on stored columns that keeps whatever declared() may keep. Ids stand for the schemas' properties. known: the namespaces whose schema is at hand; levels are unknown, and so pass, in all others (None: nothing is known of them)."""
     out = F.lit(True)
     message = F.col("kind") == "message"
     if q.events:
         out = out & (~message | F.col("event").isin(*q.events))
     declared = {e.id for s in schemas for e in s.events}
-    if q.level is not None:
+    if q.level is not None and known is None:
+        out = out & ((F.col("kind") != "text") | (F.col("text_level") >= q.level))
+    elif q.level is not None:
         ids = {e.id for s in schemas for e in s.events if e.level >= q.level}
         # What some schema doesn't declare may be unknown there, and unknown levels stay.
         ids |= {i for i in declared for s in schemas if s.event(i) is None}
-        out = out & (~message | F.col("event").isin(*sorted(ids)) | ~F.col("event").isin(*sorted(declared)))
+        out = out & (~message | F.col("event").isin(*sorted(ids)) | ~F.col("event").isin(*sorted(declared)) | ~F.col("namespace").isin(*known))
         out = out & ((F.col("kind") != "text") | (F.col("text_level") >= q.level))
     if q.tags:
         out = out & (~message | F.col("event").isin(*sorted({e.id for s in schemas for e in s.events if {*e.tags} & {*q.tags}})))
