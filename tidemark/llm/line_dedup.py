@@ -107,7 +107,7 @@ def dedup(docs: DataFrame, batches: int = 4, fanout: int = 3) -> DataFrame:
     runs = LineRuns(spark, fanout)
     lost = [add_batch(runs, lines.where(F.col("batch") == k).drop("batch")) for k in range(len(bounds) + 1)]
     runs.close()
-    lost = reduce(DataFrame.unionByName, lost).groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("__pos"))
+    lost = reduce(DataFrame.unionByName, lost).groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("__pos"))
     lost = lost.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "__pos")
 
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
