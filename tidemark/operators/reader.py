@@ -59,7 +59,7 @@ class Reader:
         self.store, self.schemas, self.allow_foreign = store, schemas, allow_foreign
         self.spark = store.entries.sparkSession
         self.dims = dimensions(self.spark, schemas)
-        self.anchors = F.broadcast(timeline.anchors(store.runs, store.hw_boots))
+        self.anchors = timeline.anchors(store.runs, store.hw_boots)
 
     @cached_property
     def known(self) -> list[str] | None:

@@ -18,6 +18,8 @@ from tidemark.functions.render import placeholders
 from tidemark.model import ALARM, NORMAL, WARNING
 
 SEVERITY = {"normal": NORMAL, "warn": WARNING, "alarm": ALARM}
+#: Declarations in all schemas together; it bounds what joins broadcast to some tens of megabytes.
+MOST_ROWS = 200_000
 INTEGRAL = ("i64", "u64", "bool")
 VTYPES = ("f32", "f64", *INTEGRAL, "blob")
 
@@ -203,7 +205,7 @@ class Schema:
 
 @dataclass(frozen=True)
 class Dimensions:
-    """What schemas declare, as tables. Their size is that of the declarations, so joins broadcast them."""
+    """What schemas declare, as tables. Joins broadcast them: dimensions() refuses more than MOST_ROWS rows."""
 
     events: DataFrame
     metrics: DataFrame
@@ -212,6 +214,9 @@ class Dimensions:
 
 
 def dimensions(spark: SparkSession, schemas: list[Schema]) -> Dimensions:
+    declared = sum(len(s.events) + len(s.spans) + sum(1 + len(m.states) for m in s.metrics) for s in schemas)
+    if declared > MOST_ROWS:
+        raise SchemaError(f"{declared} declarations are more than {MOST_ROWS}; read with fewer schemas at a time")
     bounds = lambda m: (None if x is None else float(x) for x in (m.warn.low, m.warn.high, m.alarm.low, m.alarm.high))
     return Dimensions(
         spark.createDataFrame(
