@@ -137,8 +137,10 @@ class Reader:
         rows = rows.drop("utc", "utc_us").join(self.store.namespaces.select("namespace", "schema_name"), "namespace", "left")
         on = ["metric"] if strict else ["schema_name", "metric"]
         rows = rows.join(F.broadcast(states.select(*on).distinct()), on, "left_semi").drop("schema_name")
-        if max_segments is not None:
-            rows = rows.join(newest_segments(self.store.segments, max_segments), ["namespace", "channel", "boot"], "left_semi")
+        if max_segments is not None and q.start is not None:
+            held = self.store.segments.where(plan.place(q)).withColumnRenamed("base_us", "at_us").where(plan.relative_window(Query(end=q.start))).withColumnRenamed("at_us", "base_us")
+            first = newest_segments(held, max_segments).groupBy("namespace", "channel").agg(F.min(F.struct("boot", "base_us")).alias("__first"))
+            rows = rows.join(first, ["namespace", "channel"]).where(F.struct("boot", F.col("at_us").alias("base_us")) >= F.col("__first")).drop("__first")
         found = enrich.enriched(timeline.with_utc(last_states(rows), self.anchors), self.store.namespaces, self.dims)
         return found.orderBy("boot", "at_us", "namespace", "channel", "metric")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,12 @@ def paths(table: DataFrame, levels: int = 32) -> DataFrame:
         }).drop("root2", "depth2", "up2")
         step *= 2
     return out.drop("up")
+
+
+def allocated(starts: DataFrame) -> DataFrame:
+    """starts (boot, namespace, at_us, seq) with span: ids from 1 on, unique in the run. Ranks are taken within a namespace and offset by the counts of those before it, so no task sorts a whole run."""
+    sizes = starts.groupBy("boot", "namespace").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("boot").orderBy("namespace").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("boot", "namespace", F.coalesce(before, F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("boot", "namespace").orderBy("at_us", "seq"))
+    return starts.withColumn("span", rank).join(sizes, ["boot", "namespace"]).withColumn("span", F.col("span") + F.col("__before")).drop("__before")

@@ -14,7 +14,7 @@ from tidemark.operators import enrich, ingest, limits, seeds, spans, storage, ti
 from tidemark.operators.reader import Reader, newest_segments
 from tidemark.plans import query as plan
 from tidemark.plans.query import NEWEST, OLDEST, BootTime, Query, Utc
-from tidemark.schema import Range, dimensions
+from tidemark.schema import Migration, Range, Schema, dimensions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -294,6 +294,13 @@ def d9_seeds_by_id(spark, sf):
     return _reader(spark, sf).seeds(_SEED, strict=True).select("namespace", "channel", "metric", "boot", "at_us", "state_code", "state")
 
 
+@query(f"""select namespace, channel, metric, boot, at_us from (select s.*, row_number() over (partition by s.namespace,s.channel,metric order by boot desc, at_us desc, seq desc) rn from s
+ join (select namespace, channel, min((boot, base_us)) as first from (select *, row_number() over (partition by namespace,channel order by boot desc, base_us desc) rn from seg where boot<3 or (boot=3 and base_us<={DAY_US})) where rn<=2 group by all) f on f.namespace=s.namespace and f.channel=s.channel
+ where metric=2 and schema_name='radio' and (boot<3 or (boot=3 and at_us<{DAY_US})) and (boot, at_us)>=first) t where rn=1""")
+def d9_seeds_of_newest_segments(spark, sf):
+    return _reader(spark, sf).seeds(_SEED, max_segments=2).select("namespace", "channel", "metric", "boot", "at_us")
+
+
 @query("select cast(0 as bigint) as boot, span, cast(nullif(any_value(half),0) as bigint) as parent, min(at_us) as start_us, max(at_us) as end_us, max(at_us)-min(at_us) as took_us from c group by span")
 def d10_spans(spark, sf):
     return spans.spans(conversations(spark, sf)).select("boot", "span", "parent", "start_us", "end_us", "took_us")
@@ -565,4 +572,35 @@ def l1_undeclared(spark, sf):
     return lost.groupBy("namespace").agg(F.count("*").alias("n")).withColumn("violation", F.lit("unknown_event"))
 
 
+@query("select seq, cast(row_number() over (partition by boot order by namespace, at_us, seq) as bigint) as span from entries where event=3")
+def w9_span_ids(spark, sf):
+    return spans.allocated(entries(spark, sf).where("event = 3").drop("span")).select("seq", "span")
+
+
+@query("select seq, case when event=1 then 2 else event end as event, case when metric=1 then v_f64/100 else v_f64 end as v_f64 from entries where event is distinct from 4")
+def k4_migration(spark, sf):
+    merge = Migration(1, lambda d: d.withColumn("event", F.lit(2)), events=(1,))
+    scale = Migration(2, lambda d: d.withColumn("v_f64", F.col("v_f64") / 100), metrics=(1,))
+    drop = Migration(3, lambda d: d.limit(0), events=(4,))
+    return Schema("radio", 4, migrations=(merge, scale, drop)).migrate(entries(spark, sf), from_version=1).select("seq", "event", "v_f64")
+
+
+@query("select seq, case when seq%4=0 then 'wrong_type' end as violation from entries where kind='sample'")
+def i19_value_types(spark, sf):
+    rows = entries(spark, sf).where("kind = 'sample'").withColumn("vtype", F.when(F.col("seq") % 4 == 0, "f32").otherwise(F.col("vtype")))
+    return ingest.violations(rows, _dims(spark)).select("seq", "violation")
+
+
+@query("select boot, hw_boot, init_us, anchor_ms from runs")
+def d3_run_anchors(spark, sf):
+    r, h = runs(spark)
+    return timeline.anchors(r, h).join(r.select("boot", "hw_boot"), "boot").select("boot", "hw_boot", "init_us", "anchor_ms")
+
+
+@query("select channel, kind, count(*) as n, bool_and(namespace like 'orc-radio-_' or namespace like 'apt-modem-_') as named from entries group by all")
+def b12_places(spark, sf):
+    named = F.col("namespace").rlike("^(orc-radio|apt-modem)-.$")
+    return _reader(spark, sf).selected(Query()).groupBy("channel", "kind").agg(F.count("*").alias("n"), F.bool_and(named).alias("named"))
+
+
 __all__ = ["QUERIES", "SQL", "plan"]
