@@ -217,3 +217,14 @@ def test_viterbi_is_the_best_segmentation():
         own = ids[at[k] : at[k + 1]]
         assert "".join(pieces[i] for i in own) == "▁" + t
         assert abs(scores[own].sum() - best("▁" + t)) < 1e-9
+
+
+def test_groups_of_tables_that_repeat(spark, monkeypatch):
+    """Equal chunks of documents in several tasks stay apart."""
+    from tidemark.llm import hashing
+
+    monkeypatch.setattr(hashing, "CHUNK", 300)
+    base = [(f"w{k} w{k + 1} w{k + 2} w{k + 3} w{k + 4} w{k + 5} w{k + 6} w{k + 7}") for k in range(0, 40, 4)]
+    rows = [(n * 100 + k, t) for n in range(3) for k, t in enumerate(base)] + [(1000, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()} == brute.groups(rows)

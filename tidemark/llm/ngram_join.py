@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def _set_keys(hashes: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.nd
 
 
 class Summary:
-    """Misra-Gries: counts of at most `size` values, each too low by at most total / size."""
+    """Frequent values of a stream in at most `size` counters (Misra-Gries over chunks). What occurs once in a chunk opens no counter: a value that holds 1 / size of everything occurs several times in chunks of this size."""
 
     def __init__(self, size: int) -> None:
         self.size, self.total, self.values, self.counts = size, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -86,15 +87,9 @@ class Summary:
     def add(self, values: np.ndarray) -> None:
         self.total += len(values)
         values, counts = np.unique(values, return_counts=True)
-        many = counts > 1  # what occurs once in a chunk is decremented away unless the summary holds it
-        held = np.isin(values, self.values) if len(self.values) else np.zeros(len(values), bool)
-        if len(self.values) + int((many & ~held).sum()) <= self.size and not (~many & ~held).sum() <= self.size - len(self.values):
-            keep = many | held
-            values, counts = values[keep], counts[keep]
-        values = np.concatenate([self.values, values])
-        counts = np.concatenate([self.counts, counts])
-        self.values, back = np.unique(values, return_inverse=True)
-        self.counts = np.bincount(back, counts, len(self.values)).astype(np.int64)
+        keep = (counts > 1) | np.isin(values, self.values)
+        self.values, back = np.unique(np.concatenate([self.values, values[keep]]), return_inverse=True)
+        self.counts = np.bincount(back, np.concatenate([self.counts, counts[keep]]), len(self.values)).astype(np.int64)
         if len(self.values) > self.size:
             least = np.partition(self.counts, -self.size - 1)[-self.size - 1]
             keep = self.counts > least
@@ -135,13 +130,12 @@ _NAMES = [x.split()[0] for x in _PARTS.split(", ")]
 
 def _scatter(n_buckets: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for _, words in words_of(batch["text"], lower=True):
                 hashes, text = shingle_sets(words)
                 size, keys = _set_keys(hashes, text, words.n_texts)
-                if not len(hashes):
-                    continue
-                chunk = int(mixed(keys[0].view(np.uint64) + np.arange(len(size), dtype=np.uint64)).sum().view(np.int64)) if len(size) else 0
+                chunk += 1
                 hot = np.isin(hashes, heavy) if len(heavy) else np.zeros(len(hashes), bool)
                 head = np.stack([size.astype(np.int64), *keys]).tobytes()
                 yield _rows(chunk, [chunk % n_buckets], [1], [head], [text[hot].astype(np.int32).tobytes()], [hashes[hot].tobytes()])
