@@ -13,7 +13,7 @@ Segments of equal length advance together:
 Characters that no piece holds fall back to bytes, or to the unknown id where the model has none.
 
 The model's pieces (a vocabulary, so of bounded size) go to the tasks with the function; texts are read once and nothing is
-shuffled. A chunk holds at most CHUNK characters or one text, so memory follows the longest text.
+shuffled. A chunk holds at most CHUNK characters (half as many ids) or one text, so memory follows the longest text.
 
 Defined results: null and empty texts have no ids; ids that are null or empty decode to the empty text; control ids decode to
 nothing; repeated rows are encoded alike; empty tables give empty tables; other columns pass through unless they carry the
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tidemark.llm.hashing import P, Q, mixed, powers, ragged
 
 MARK = "▁"
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 LONG = 64
 _N = 0x110000
 
@@ -307,8 +307,13 @@ def decode(encoded: DataFrame, model: Pieces, ids: str = "ids", into: str = "dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch[ids].fill_null([])
-            counts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            texts = model.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(texts, pa.string())], [*keep, into])
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            first = 0
+            while first < len(lists):  # rows of some ids at a time, or one row
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK // 2, side="right")) - 1)
+                part = batch.slice(first, last - first)
+                texts = model.decode(lists.slice(first, last - first).flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends[first : last + 1] - ends[first])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(texts, pa.string())], [*keep, into])
+                first = last
 
     return encoded.select(*keep).mapInArrow(run, T.StructType([*encoded.select(*keep).schema.fields, T.StructField(into, T.StringType())]))
