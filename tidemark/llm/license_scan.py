@@ -1,17 +1,22 @@
 """Licence scans: normalised passages compared with licence templates by Dice coefficient over word bigrams.
 
-A passage is a line of a document, or its whole text. Size bounds prune first: with a Dice coefficient of at least t, a
-passage of n bigrams can only match a template of m if n <= (2 - t) / t * m and the other way round; passages outside all
-templates' bounds make no bigrams. The rest meet the templates in an equi-join on bigrams, in which the template side is a
-fixed list of a few kilobytes (its broadcast is bounded by the library), and only matches go on to an aggregation.
+A passage is a line of a document, or its whole text. Two bounds prune without loss. By size: with a Dice coefficient of at
+least t, a passage of n bigrams can only match a template of m if n <= (2 - t) / t * m and the other way round, so at least so
+many bigrams are shared. By words: each template has a few words whose bigrams are so many that a passage without any of
+these words can't share enough. Documents, then passages without such words leave before any is split. The rest meet the
+templates in an equi-join on bigrams, in which the template side is a fixed list of a few kilobytes (its broadcast is bounded
+by the library), and only matches go on to an aggregation.
 
-Defined results: null or empty texts match nothing; a passage of one word has no bigram; lines that are equal within a
-document count once; rows that share doc_id and text get the same result; an empty table gives an empty table; ties between
+Defined results: null or empty texts match nothing; a passage of one word has no bigram; lines of a document that are
+equal but for case count once; rows that share doc_id and text get the same result; an empty table gives an empty table; ties between
 templates go to the first name; other columns pass through unless they carry the name of a result column.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +53,22 @@ def bigrams(words: Column) -> Column:
     return F.when(n >= 2, F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))))
 
 
+def telling_words(templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD) -> list[str]:
+    """Words of which every passage that matches some template holds at least one."""
+    found: set[str] = set()
+    for text in (t for variants in templates.values() for t in variants):
+        words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+        pairs = {*zip(words, words[1:])}
+        least = -(-len(pairs) * threshold // (200 - threshold))  # bigrams that the smallest match has
+        spare = len(pairs) - -(-threshold * (least + len(pairs)) // 200)  # template bigrams that a match may lack
+        lost: set[tuple[str, str]] = set()
+        for w in sorted({*words}, key=lambda w: (w not in found, -len(w) - 6 * w.isdigit(), w)):  # rare ones first: long words and numbers
+            if len(lost) <= spare:
+                lost |= {p for p in pairs if w in p}
+                found.add(w)
+    return sorted(found)
+
+
 def template_table(spark: SparkSession, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(license, variant, n_template, bigram): distinct bigrams of each template."""
     rows = spark.createDataFrame([(k, i, t) for k, v in templates.items() for i, t in enumerate(v)], "license string, variant int, t string")
@@ -60,8 +81,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     table = template_table(docs.sparkSession, templates)
     sizes = table.agg(F.min("n_template"), F.max("n_template")).first()  # two numbers of the library
     least, most = (sizes[0] or 1) * threshold / (200 - threshold), (sizes[1] or 0) * (200 - threshold) / threshold
-    text = F.coalesce(F.col("text"), F.lit(""))
-    passages = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.explode(F.array_distinct(F.concat(F.split(text, "\n"), F.array(text)))).alias("passage"))
+    telling = telling_words(templates, threshold)
+    any_of = lambda c: reduce(lambda x, w: x | F.contains(c, F.lit(w)), telling, F.lit(False))
+    # Both columns are a generator's output, so the filters on them don't lower-case the text once a word.
+    low = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.explode(F.array(F.lower("text"))).alias("low")).where(any_of(F.col("low")))
+    passages = low.select("doc_id", "tag", F.explode(F.array_distinct(F.concat(F.split("low", "\n"), F.array("low")))).alias("passage")).where(any_of(F.col("passage")))
     units = passages.select("doc_id", "tag", F.xxhash64("passage").alias("unit"), normalised(F.col("passage")).alias("w"))
     # Distinct words less one bound the distinct bigrams from below.
     units = units.where((F.size("w") >= 2) & (F.size(F.array_distinct("w")) <= int(most) + 1)).select("doc_id", "tag", "unit", bigrams(F.col("w")).alias("b"))

@@ -90,7 +90,7 @@ def license_scan(templates: dict[str, list[str]] = TEMPLATES, threshold: int = T
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""with t as (select license, variant, unnest({grams}) as g from (select license, variant, {words('t')} as w from (values {values}) v(license, variant, t)) where len(w) >= 2),
 tn as (select license, variant, count(*) as m from t group by all),
-u as (select doc_id, unnest(list_distinct(list_append(string_split(text, chr(10)), text))) as passage from documents where text is not null),
+u as (select doc_id, unnest(list_distinct(list_append(string_split(lower(text), chr(10)), lower(text)))) as passage from documents where text is not null),
 b as (select doc_id, passage, unnest({grams}) as g from (select doc_id, passage, {words('passage')} as w from u) where len(w) >= 2),
 bn as (select doc_id, passage, count(*) as n from b group by all),
 h as (select doc_id, passage, license, variant, count(*) as o from b join t using (g) group by all),
