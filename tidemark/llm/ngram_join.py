@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,8 +162,8 @@ def _rows(chunk: int, bucket: list, kind: list, *blobs: list) -> pa.RecordBatch:
 
 def _count(table: pa.Table) -> pa.Table:
     """One hash range: frequencies of its shingles; those of two documents and more go back to their chunks."""
-    whole = table.filter(pa.compute.equal(table["kind"], 1))
-    part = table.filter(pa.compute.equal(table["kind"], 0))
+    whole = table.filter(pc.equal(table["kind"], 1))
+    part = table.filter(pc.equal(table["kind"], 0))
     if not part.num_rows:
         return whole
     blobs = part["keys"].to_pylist()

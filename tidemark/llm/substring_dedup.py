@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def units(docs: DataFrame, n_parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = TaskContext.get().partitionId() << 32
         for batch in batches:
-            size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
             first = 0
             while first < batch.num_rows:
                 held = size[first - 1] if first else 0
@@ -154,7 +155,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _rows(table: pa.Table) -> pa.RecordBatch:
-    with pa.ipc.open_stream(table.filter(pa.compute.equal(table["kind"], TEXTS))["a"][0].as_py()) as stream:
+    with pa.ipc.open_stream(table.filter(pc.equal(table["kind"], TEXTS))["a"][0].as_py()) as stream:
         return stream.read_all().combine_chunks().to_batches()[0]
 
 
@@ -162,7 +163,7 @@ def _segments_of(n_parts: int):
     def run(table: pa.Table) -> pa.Table:
         rows = _rows(table)
         unit, u = table["unit"][0].as_py(), Unit(rows["text"])
-        shared = table.filter(pa.compute.equal(table["kind"], SHARED))
+        shared = table.filter(pc.equal(table["kind"], SHARED))
         parts = np.repeat(shared["part"].to_numpy(), [len(b) // 5 for b in shared["a"].to_pylist()]).astype(np.uint64)
         shared = _unpacked(shared["a"].to_pylist(), 5) | (parts << np.uint64(40))
         part = _parts(u.key, n_parts)
@@ -194,8 +195,8 @@ def _segments_of(n_parts: int):
 
 def _match(table: pa.Table) -> pa.Table:
     """One shard: for each window of each unit's segments the smallest doc_id that holds it. Layouts pass through."""
-    layouts = table.filter(pa.compute.equal(table["kind"], LAYOUT)).select(_NAMES)
-    table = table.filter(pa.compute.equal(table["kind"], SEGMENTS))
+    layouts = table.filter(pc.equal(table["kind"], LAYOUT)).select(_NAMES)
+    table = table.filter(pc.equal(table["kind"], SEGMENTS))
     if not table.num_rows:
         return layouts
     blobs = table["a"].to_pylist()
@@ -232,13 +233,13 @@ def _apply_to(names: list[str]):
         rows = _rows(table)
         u = Unit(rows["text"])
         remove = np.zeros(u.n_words + 1, np.int64)
-        layout = table.filter(pa.compute.equal(table["kind"], LAYOUT))
+        layout = table.filter(pc.equal(table["kind"], LAYOUT))
         if layout.num_rows:
             text, start, place = np.frombuffer(layout["a"][0].as_py(), np.int32).reshape(3, -1).astype(np.int64)
             text, start = np.cumsum(text), np.cumsum(start)
             windows = np.frombuffer(layout["b"][0].as_py(), np.uint8).astype(np.int64)
             some, _ = np.frombuffer(layout["c"][0].as_py(), np.int32).reshape(2, -1)
-            owners = table.filter(pa.compute.equal(table["kind"], OWNERS))
+            owners = table.filter(pc.equal(table["kind"], OWNERS))
             by_part = dict(zip(owners["part"].to_pylist(), owners["a"].to_pylist(), strict=True))
             owner = np.concatenate([np.cumsum(np.frombuffer(by_part[p], np.int64)) for p in some.tolist()]) if len(some) else np.zeros(0, np.int64)
             n = windows[place]
