@@ -29,6 +29,19 @@ def test_variable_segments_become_wildcards_and_bad_templates_go(spark):
     assert {(r.path.split("/")[1], r.verdict) for r in rows if r.rule is None} == {("spam", "block"), ("good", "allow")}
 
 
+def test_pages_without_evidence_stay(spark):
+    pairs = [(h, c) for h in ("a.net", "b.net") for c in ("es", "fr", "en", "de")] + [("c.org", c) for c in ("en", "de")] + [("example.com", "en")]
+    urls = [f"http://{h}/{c}/{k}/page" for h, c in pairs for k in range(6)]
+    rows = url_filter.judge(spark.createDataFrame([(u, "own") for u in urls], "url string, __none string"), URL_RULES).collect()
+    got = {(r.host, r.path.split("/")[1]): (r.verdict, r.template.split("/")[1]) for r in rows}
+    for host in ("a.net", "b.net"):
+        assert got[host, "es"] == got[host, "fr"] == ("block", "~")
+        assert got[host, "en"] == ("allow", "en") and got[host, "de"] == ("allow", "de")
+    assert got["c.org", "en"] == ("allow", "en") and got["c.org", "de"] == ("allow", "de")
+    # Every rule blocks here, so the overall share alone would block a host without labels.
+    assert all(r.rule is not None for r in rows if r.verdict == "block")
+
+
 def test_archives_round_trip(spark):
     long, other = "x" * 2000, "\x00\r\n\r\nWARC/1.1\r\n" * 200
     rows = [(1, "http://a/", long), (2, None, long), (3, "u\nv", "é" * 700), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (None, "u", long), (7, "u", "é" * 700), (7, "u", other), (8, "u", "y" * 999)]

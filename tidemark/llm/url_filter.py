@@ -2,9 +2,11 @@
 
 Rules give verdicts and, in doing so, labels. The tree is built per host over path *shapes* (runs of digits become #), which
 are aggregated first: a host with a third of all pages is a few shapes. Level by level, a node with many rare children turns
-them into a wildcard, and children whose label rates don't differ from their siblings' (a two-proportion z test) merge into
-one branch. A template's purity is its share of block labels, smoothed towards the same template's share over all hosts and
-that towards the overall share. Built-in expressions, aggregations and equi-joins only.
+them into a wildcard, and labelled children whose label rates don't differ from their labelled siblings' (a two-proportion z
+test) merge into one branch; a child without labels stays a branch of its own. A template's purity is its share of block
+labels, smoothed towards the same template's share over all hosts and that towards the overall share. Merged branches differ
+from host to host, so templates with one, and hosts without labels, are smoothed towards the overall share only. A template
+without any label in its host is undecided and allowed. Built-in expressions, aggregations and equi-joins only.
 
 Defined results: a null url, or one without ://, has an empty host and path and no rule, and is judged by the empty
 template; path levels from MAX_LEVELS on form one segment, so crawler traps cost no further level; repeated rows are judged
@@ -80,12 +82,12 @@ def templates(shapes: DataFrame, s: TreeSettings = TreeSettings()) -> DataFrame:
         node = ["host", "template"]
         sums = [F.sum(c).alias(c) for c in ("pages", "labels", "blocks")]
         kids = tree.where("part is not null").groupBy(*node, "part").agg(*sums)
-        nodes = kids.groupBy(*node).agg(F.count("*").alias("n_kids"), F.sum("pages").alias("all_pages"), F.sum("labels").alias("all_labels"), F.sum("blocks").alias("all_blocks"))
+        nodes = kids.groupBy(*node).agg(F.count("*").alias("n_kids"), F.count(F.when(F.col("labels") > 0, 1)).alias("n_labelled"), F.sum("pages").alias("all_pages"), F.sum("labels").alias("all_labels"), F.sum("blocks").alias("all_blocks"))
         rate = F.when(F.col("all_labels") > 0, F.col("all_blocks") / F.col("all_labels"))
         gap = F.when(F.col("labels") > 0, F.abs(F.col("blocks") / F.col("labels") - rate))
-        alike = F.coalesce(gap <= s.z * F.sqrt(rate * (1 - rate) / F.col("labels")), F.lit(True))
+        alike = F.coalesce(gap <= s.z * F.sqrt(rate * (1 - rate) / F.col("labels")), F.lit(False))  # without labels nothing says so
         variable = (F.col("n_kids") >= s.wildcard) & (F.col("all_pages") <= s.rare * F.col("n_kids"))
-        step = F.when(variable, "*").when((F.col("n_kids") > 1) & alike, "~").otherwise(F.col("part"))
+        step = F.when(variable, "*").when((F.col("n_labelled") > 1) & alike, "~").otherwise(F.col("part"))
         named = kids.join(nodes, node).select(*node, "part", step.alias("step"))
         tree = tree.join(named, [*node, "part"], "left").withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("step", "part")
         if level % 2:  # the plan doubles with each level otherwise
@@ -108,9 +110,12 @@ def judge(pages: DataFrame, rules: list[UrlRule], settings: TreeSettings = TreeS
     prior, w = (total[0] or 0) / max(total[1] or 0, 1), settings.weight
     sums = [F.sum("labels").alias("labels"), F.sum("blocks").alias("blocks")]
     everywhere = tree.groupBy("template").agg(*sums).select("template", ((F.col("blocks") + w * prior) / (F.col("labels") + w)).alias("common"))
-    own = tree.groupBy("host", "template").agg(*sums).join(everywhere, "template")
-    own = own.select("host", "template", ((F.col("blocks") + w * F.col("common")) / (F.col("labels") + w)).alias("purity"))
-    judged = tree.select("host", "segments", "template").join(own, ["host", "template"]).select(F.col("host").alias("__host"), F.col("segments").alias("__key"), "template", "purity")
+    hosts = tree.groupBy("host").agg(F.sum("labels").alias("host_labels"))
+    own = tree.groupBy("host", "template").agg(*sums).join(everywhere, "template").join(hosts, "host")
+    alone = F.array_contains(F.split("template", "/"), "~") | (F.col("host_labels") == 0)
+    base = F.when(alone, F.lit(prior)).otherwise(F.col("common"))
+    own = own.select("host", "template", F.col("labels").alias("__evidence"), ((F.col("blocks") + w * base) / (F.col("labels") + w)).alias("purity"))
+    judged = tree.select("host", "segments", "template").join(own, ["host", "template"]).select(F.col("host").alias("__host"), F.col("segments").alias("__key"), "template", "purity", "__evidence")
     rows = rows.join(judged, (F.col("host") == F.col("__host")) & (F.col("__segments") == F.col("__key")), "left")
-    verdict = F.coalesce(label, F.when(F.col("purity") >= settings.block_from, "block").otherwise("allow"))
+    verdict = F.coalesce(label, F.when((F.col("__evidence") > 0) & (F.col("purity") >= settings.block_from), "block").otherwise("allow"))
     return rows.select(*rest, "host", "path", F.col("__rule.prefix").alias("rule"), verdict.alias("verdict"), "template", "purity")
