@@ -154,6 +154,26 @@ def test_licences(docs, empty, spark):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_licences_over_several_lines_and_inside_lines(spark):
+    import textwrap
+
+    prose = " ".join(f"filler{k} stands here" for k in range(400))
+    texts = license_scan.bodies()
+    rows = [
+        (1, f"{prose}\n" + textwrap.fill(texts["MIT"][0], 40) + f"\n{prose}"),
+        (2, "Prose goes first. Copyright X. Licensed under CC BY 4.0. More prose comes after it."),
+        (3, texts["GPL-3.0"][0]),
+        (4, f"{prose}\n# " + "\n# ".join(texts["BSD-3-Clause"][0].splitlines())),
+        (None, f"{prose} This work is licensed under the GNU General\nPublic License, version 3. {prose}"),
+        (6, f"{prose} copyright and permission, free of charge {prose}"),
+        (7, f"{prose}\nLicensed under CC BY 4.0.\n{prose}"),
+        (8, "\n\n".join([prose, texts["MIT"][0], prose, texts["Apache-2.0"][0], prose])),
+    ]
+    got = {r.doc_id: (r.licenses, r.n_passages, r.best_dice) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: g[:2] for i, g in got.items()} == {1: (["MIT"], 1), 2: (["CC-BY-4.0"], 1), 3: (["GPL-3.0"], 1), 4: (["BSD-3-Clause"], 1), None: (["GPL-3.0"], 1), 6: ([], 0), 7: (["CC-BY-4.0"], 1), 8: (["Apache-2.0", "MIT"], 3)}  # the Apache text ends with a line that matches by itself
+    assert all(got[i][2] > 0.99 for i in (1, 2, 3, None, 7, 8))
+
+
 def test_classifier_edges(docs, empty, spark):
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in ROWS[:20]] + [(None, None, None)], "doc_id bigint, quality int, toxic int")
     rows = quality_gbt.classify(docs, labels).collect()

@@ -1,12 +1,17 @@
 """Licence scans: normalised passages compared with licence templates by Dice coefficient over word bigrams.
 
-A passage is a line of a document, or its whole text. Two bounds prune without loss. By size: with a Dice coefficient of at
+A passage is a line of a document, its whole text, or a window of consecutive words wherever lines and sentences end. Two bounds prune without loss. By size: with a Dice coefficient of at
 least t, a passage of n bigrams can only match a template of m if n <= (2 - t) / t * m and the other way round, so at least so
 many bigrams are shared. By words: each template has a few words whose bigrams are so many that a passage without any of
 these words can't share enough. Documents, then passages without such words leave before any is split. The rest meet the
 templates in an equi-join on bigrams, in which the template side is a fixed list of a few kilobytes (its broadcast is bounded
 by the library), and only matches go on to an aggregation.
 
+Windows are found by alignment instead of by trying all: of a document with a telling word, each place of a template's bigram
+counts 200 - t, each other place -t (t in per cent), and one pass over these places gives the windows whose sum reaches t times
+the template's bigrams, which is the Dice bound itself (a bigram that the window has already counts nothing). A window that is
+mostly lines which match by themselves is left to these. Whole licence texts (BODIES) are compared with windows only.
+
 Defined results: null or empty texts match nothing; a passage of one word has no bigram; lines of a document that are
 equal but for case count once; rows that share doc_id and text get the same result; an empty table gives an empty table; ties between
 templates go to the first name; other columns pass through unless they carry the name of a result column.
@@ -15,11 +20,14 @@ templates go to the first name; other columns pass through unless they carry the
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
+
 THRESHOLD = 80  # per cent
 RESULT = ("licenses", "best_license", "best_dice", "n_passages")
 
@@ -53,8 +61,14 @@ def bigrams(words: Column) -> Column:
     return F.when(n >= 2, F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))))
 
 
-def telling_words(templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD) -> list[str]:
-    """Words of which every passage that matches some template holds at least one."""
+@cache
+def bodies() -> dict[str, list[str]]:
+    """Whole licence texts by name, one file each beside this module."""
+    return {f.stem: [f.read_text()] for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
+def telling_words(templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD, numbers: int = 6) -> list[str]:
+    """Words of which every passage that matches some template holds at least one; a number counts as that many letters more."""
     found: set[str] = set()
     for text in (t for variants in templates.values() for t in variants):
         words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
@@ -62,7 +76,7 @@ def telling_words(templates: dict[str, list[str]] = TEMPLATES, threshold: int =
         least = -(-len(pairs) * threshold // (200 - threshold))  # bigrams that the smallest match has
         spare = len(pairs) - -(-threshold * (least + len(pairs)) // 200)  # template bigrams that a match may lack
         lost: set[tuple[str, str]] = set()
-        for w in sorted({*words}, key=lambda w: (w not in found, -len(w) - 6 * w.isdigit(), w)):  # rare ones first: long words and numbers
+        for w in sorted({*words}, key=lambda w: (w not in found, -len(w) - numbers * w.isdigit(), w)):  # rare ones first: long words and numbers
             if len(lost) <= spare:
                 lost |= {p for p in pairs if w in p}
                 found.add(w)
@@ -76,8 +90,60 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]] = TEMPLA
     return rows.select("license", "variant", F.size("b").alias("n_template"), F.explode("b").alias("bigram"))
 
 
+def windows(docs: DataFrame, lines: DataFrame, library: dict[str, list[str]], telling: list[str], threshold: int) -> DataFrame:
+    """(doc_id, tag, unit, license, dice) of the windows of docs (doc_id, tag, low) that match; of overlapping ones that which shares most. lines: (doc_id, tag, units), hashes of what matches by itself."""
+    hit, miss, least = 200 - threshold, threshold, threshold * F.col("n_template")
+    table = template_table(docs.sparkSession, library)
+    docs = docs.where(reduce(lambda x, w: x | F.contains("low", F.lit(w)), telling, F.lit(False)))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    words = docs.select("doc_id", "tag", normalised(F.col("low")).alias("w")).where(F.size("w") >= 2)
+    key = ["doc_id", "tag", "license", "variant", "n_template"]
+    places = words.select("doc_id", "tag", F.posexplode(pairs(F.col("w"))).alias("pos", "bigram")).join(F.broadcast(table), "bigram")
+    places = places.groupBy(*key, "bigram").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    before = F.concat(F.array(F.lit(-1)), F.slice("at", F.lit(1), F.size("at") - 1))
+    steps = F.zip_with("at", before, lambda p, q: F.struct(p.alias("pos"), q.alias("prev")))
+    # A match shares at least t / (200 - t) of the template's bigrams.
+    runs = places.groupBy(*key).agg(F.count("*").alias("shared"), F.collect_list(steps).alias("steps")).where(hit * F.col("shared") >= least)
+
+    def state(start, last, score, peak, stop, found) -> Column:
+        return F.struct(start.alias("start"), last.alias("last"), score.cast("bigint").alias("score"), peak.cast("bigint").alias("peak"), stop.alias("stop"), found.alias("found"))
+
+    def emitted(s: Column) -> Column:
+        return F.when(s["peak"] >= least, F.concat(s["found"], F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))).otherwise(s["found"])
+
+    def step(s: Column, x: Column) -> Column:
+        gap = x["pos"] - s["last"] - 1
+        left = s["score"] - miss * gap
+        # No match spans a gap that costs more than what all of the template's bigrams give above the bound.
+        over = (left <= 0) | (miss * gap > (hit - miss) * F.col("n_template")) | ((s["peak"] >= least) & (left < least))
+        score = left + F.when(x["prev"] >= s["start"], 0).otherwise(hit)
+        on = state(s["start"], x["pos"], score, F.greatest(score, s["peak"]), F.when(score > s["peak"], x["pos"]).otherwise(s["stop"]), s["found"])
+        return F.when(over, state(x["pos"], x["pos"], F.lit(hit), F.lit(hit), x["pos"], emitted(s))).otherwise(on)
+
+    none = state(F.lit(0), F.lit(-1), F.lit(0), F.lit(0), F.lit(0), F.array().cast("array<struct<start:int,stop:int>>"))
+    spans = runs.select(*key, F.explode(F.aggregate(F.array_sort(F.flatten("steps")), none, step, emitted)).alias("span"))
+    grams = table.groupBy("license", "variant").agg(F.collect_list("bigram").alias("own"))
+    # Written first: where windows are few, as their size then shows, the texts needn't be shuffled to them.
+    spans = written(spans).join(F.broadcast(grams), ["license", "variant"]).select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "license", "n_template", "span.start", "span.stop", "own")
+    spans = spans.join(docs, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("tag") == F.col("__tag"))).drop("__doc", "__tag")
+    lines = lines.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "units")
+    spans = spans.join(lines, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("tag") == F.col("__tag")), "left").drop("__doc", "__tag")
+    known = lambda text: F.coalesce(F.array_contains("units", F.xxhash64(text)), F.lit(False))
+    marked = F.flatten(F.transform(F.split("low", "\n"), lambda x: F.transform(normalised(x), lambda w: F.struct(w.alias("w"), known(x).alias("known")))))
+    spans = spans.where(~known(F.col("low"))).withColumn("part", F.slice(marked, F.col("start") + 1, F.col("stop") - F.col("start") + 2))
+    spans = spans.where(2 * F.size(F.filter("part", lambda x: x["known"])) <= F.size("part"))
+    spans = spans.withColumn("w", F.col("part.w")).withColumn("b", F.array_distinct(pairs(F.col("w"))))
+    both = F.size(F.array_intersect("b", "own"))
+    spans = spans.select("doc_id", "tag", "license", "start", "stop", F.xxhash64(F.array_join("w", " ")).alias("unit"), both.alias("both"), (2 * both / (F.size("b") + F.col("n_template"))).alias("dice"))
+    best = spans.where(F.col("dice") * 100 >= threshold).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct((-F.col("both")).alias("o"), (-F.col("dice")).alias("d"), "license", "start", "stop", "unit"))).alias("all"))
+    meets = lambda kept, x: F.exists(kept, lambda y: (y["start"] <= x["stop"]) & (x["start"] <= y["stop"]))
+    apart = F.aggregate("all", F.slice("all", 1, 1), lambda kept, x: F.when(meets(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    return best.select("doc_id", "tag", F.explode(apart).alias("x")).select("doc_id", "tag", "x.unit", "x.license", (-F.col("x.d")).alias("dice"))
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
     """docs with licenses (of each passage the closest; names, sorted), best_license, best_dice and n_passages (distinct passages that match)."""
+    library = {k: [*templates.get(k, []), *bodies().get(k, [])] for k in sorted({*templates, *bodies()})} if templates is TEMPLATES else templates
     table = template_table(docs.sparkSession, templates)
     sizes = table.agg(F.min("n_template"), F.max("n_template")).first()  # two numbers of the library
     least, most = (sizes[0] or 1) * threshold / (200 - threshold), (sizes[1] or 0) * (200 - threshold) / threshold
@@ -92,7 +158,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     units = units.where(F.size("b").between(int(least), int(most))).select("doc_id", "tag", "unit", F.size("b").alias("n_own"), F.explode("b").alias("bigram"))
     hits = units.join(F.broadcast(table), "bigram").groupBy("doc_id", "tag", "unit", "license", "variant", "n_own", "n_template").agg(F.count("*").alias("both"))
     hits = hits.where(200 * F.col("both") >= threshold * (F.col("n_own") + F.col("n_template")))
-    hits = hits.withColumn("dice", 2 * F.col("both") / (F.col("n_own") + F.col("n_template")))
+    hits = written(hits.select("doc_id", "tag", "unit", "license", (2 * F.col("both") / (F.col("n_own") + F.col("n_template"))).alias("dice")))
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.lower("text").alias("low"))
+    lines = hits.groupBy("doc_id", "tag").agg(F.collect_set("unit").alias("units"))
+    hits = hits.unionByName(windows(texts, lines, library, telling_words(templates, threshold, numbers=-20), threshold))
     hits = hits.groupBy("doc_id", "tag", "unit").agg(F.min(F.struct((-F.col("dice")).alias("d"), F.col("license").alias("l"))).alias("best"))
     found = hits.groupBy("doc_id", "tag").agg(
         F.array_sort(F.collect_set("best.l")).alias("licenses"),
