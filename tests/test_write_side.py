@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidemark.fixture import MODEM, RADIO, SCHEMAS, entries, store
 from tidemark.model import ERROR, as_entries
-from tidemark.operators import ingest, limits, storage, timeline
+from tidemark.operators import ingest, limits, spans, storage, timeline
 from tidemark.operators.reader import Reader
 from tidemark.plans.query import Query
 from tidemark.schema import Range, Schema, SchemaError, dimensions
@@ -116,3 +116,11 @@ def test_stream_counts(spark, tmp_path):
     query = live.counts(rows).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.kind, r.n) for r in spark.table("counted").collect()) == [("ext", 1), ("text", 2)]
+
+
+def test_paths_of_deep_chains_and_cycles(spark):
+    rows = [(0, k, k - 1 if k > 1 else None) for k in range(1, 101)] + [(1, 1, 2), (1, 2, 1), (1, 3, 2), (1, 4, None), (1, 5, 9)]
+    got = {(r.boot, r.span): (r.root, r.depth) for r in spans.paths(spark.createDataFrame(rows, "boot int, span int, parent int")).collect()}
+    assert len(got) == len(rows) and all(got[0, k] == (1, k - 1) for k in range(1, 101))
+    assert got[1, 1] == got[1, 2] == got[1, 3] == (None, None) and got[1, 4] == (4, 0) and got[1, 5] == (9, 1)
+    assert spans.paths(spark.createDataFrame([], "boot int, span int, parent int")).count() == 0

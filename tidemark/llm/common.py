@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import shared_folder, written  # noqa: F401
+
 #: White space of the word and line rules: space and U+0009 to U+000D.
 SPACE = r"[ \t-\r]"
 #: Characters on which lower() does what lower-casing A-Z alone does.
 _SAFE = "\\x00-\\x7F\\xA0-\\xBF\\xDF-\\xFF\\u2000-\\u206F"
-_local: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, which only a local master may do, below a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage is cut and lost executors cost nothing."""
-    path = path or shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, *paths: str) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import written
+
 
 def spans(entries: DataFrame) -> DataFrame:
     """(boot, span, span_kind, parent, start_us, end_us, took_us): one row a span. Open spans have no end; ends without start have no kind. One aggregation instead of a self-join."""
@@ -25,17 +27,19 @@ def of_spans(entries: DataFrame) -> DataFrame:
     return rows.groupBy("boot", "span").agg(F.count("*").alias("n_records"), F.count(F.when(F.col("kind") == "message", 1)).alias("n_messages"))
 
 
-def paths(table: DataFrame, levels: int = 32) -> DataFrame:
-    """spans() with root and depth. Ancestors are found by doubling: log2(levels) equi-joins on (boot, span). Cycles, which only damage makes, end at `levels`."""
-    out = table.withColumns({"up": F.col("parent"), "root": F.coalesce("parent", "span"), "depth": F.when(F.col("parent").isNull(), 0).otherwise(1)})
-    step = 1
-    while step < levels:
+def paths(table: DataFrame) -> DataFrame:
+    """spans() with root and depth. Ancestors are found by doubling: equi-joins on (boot, span), each round written, until no row has an ancestor left. Rows that still have one after log2(rows) rounds lead into a cycle, which only damage makes: null root and depth."""
+    out = written(table.withColumns({"up": F.col("parent"), "root": F.coalesce("parent", "span"), "depth": F.when(F.col("parent").isNull(), 0).otherwise(1)}))
+    is_open = F.col("up").isNotNull()
+    rounds = out.count().bit_length() + 1  # paths without a cycle are no longer than there are rows
+    for _ in range(rounds):
+        if out.where(is_open).isEmpty():
+            break
         above = out.select("boot", F.col("span").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
-        out = out.join(above, ["boot", "up"], "left").withColumns({
+        out = written(out.join(above, ["boot", "up"], "left").withColumns({
             "root": F.coalesce("root2", "root"), "depth": F.col("depth") + F.coalesce("depth2", F.lit(0)), "up": F.col("up2"),
-        }).drop("root2", "depth2", "up2")
-        step *= 2
-    return out.drop("up")
+        }).drop("root2", "depth2", "up2"))
+    return out.withColumns({c: F.when(~is_open, F.col(c)) for c in ("root", "depth")}).drop("up")
 
 
 def allocated(starts: DataFrame) -> DataFrame:
