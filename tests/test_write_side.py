@@ -124,3 +124,15 @@ def test_paths_of_deep_chains_and_cycles(spark):
     assert len(got) == len(rows) and all(got[0, k] == (1, k - 1) for k in range(1, 101))
     assert got[1, 1] == got[1, 2] == got[1, 3] == (None, None) and got[1, 4] == (4, 0) and got[1, 5] == (9, 1)
     assert spans.paths(spark.createDataFrame([], "boot int, span int, parent int")).count() == 0
+
+
+def test_segments_that_may_hold_a_window(spark):
+    """The cases of the reference's cursor.rs, and a gap."""
+    table = lambda *bases: spark.createDataFrame([("n", "c", b, x) for b, x in bases], "namespace string, channel string, boot int, base_us bigint")
+    pick = lambda t, a, b: sorted((r.boot, r.base_us) for r in storage.in_window(t, a, b).collect())
+    three = table((0, 0), (0, 100), (0, 200))
+    bases = lambda a, b: [x for _, x in pick(three, a, b)]
+    assert bases(100, None) == [0, 100, 200] and bases(101, None) == [100, 200] and bases(250, None) == [200] and bases(9999, None) == [200]
+    assert bases(None, 100) == [0, 100] and bases(None, 99) == [0] and bases(None, 0) == [0]
+    assert pick(table((0, 500), (1, 10), (1, 900)), 400, None) == [(0, 500), (1, 10), (1, 900)]
+    assert pick(table((0, 0), (0, 900)), 500, 600) == [(0, 0)] and pick(table((0, 100)), 2**62, None) == [(0, 100)]

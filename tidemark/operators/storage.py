@@ -19,6 +19,17 @@ def footers(records: DataFrame) -> DataFrame:
     )
 
 
+def in_window(segments: DataFrame, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
+    """Segments that may hold records from start_us to end_us of their run. A base is its segment's first time, so one after end_us holds none; one is all behind only if the next of its channel and run begins strictly before start_us (times may repeat), so a run's last segment stays."""
+    following = F.lead("base_us").over(Window.partitionBy("namespace", "channel", "boot").orderBy("base_us"))
+    out = segments.withColumn("__next", following)
+    if end_us is not None:
+        out = out.where(F.col("base_us") <= end_us)
+    if start_us is not None:
+        out = out.where(~F.coalesce(F.col("__next") < start_us, F.lit(False)))
+    return out.drop("__next")
+
+
 def touches(segments: DataFrame, events: list[int] | None = None, metrics: list[int] | None = None) -> Column:
     """Whether a segment may hold any of these events or metrics; without sets (an unsealed one) it may."""
     def any_of(c: str, ids: list[int]) -> Column:

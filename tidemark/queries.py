@@ -238,11 +238,7 @@ def c9_just_before(spark, sf):
 
 @query(f"select namespace, channel, boot, base_us from seg where boot=1 and base_us>={2 * DAY_US}-{DAY_US}+1 and base_us<={3 * DAY_US}")
 def c17_segment_pruning(spark, sf):
-    # A segment can hold a time from its base up to the next base of its channel.
-    following = F.lead("base_us").over(Window.partitionBy("namespace", "channel", "boot").orderBy("base_us"))
-    out = segments(entries(spark, sf)).withColumn("next_us", following)
-    out = out.where((F.col("boot") == 1) & (F.col("base_us") <= 3 * DAY_US) & (F.coalesce("next_us", F.col("base_us") + DAY_US) > 2 * DAY_US))
-    return out.where(F.col("base_us") > DAY_US).select("namespace", "channel", "boot", "base_us")
+    return storage.in_window(segments(entries(spark, sf)).where("boot = 1"), 2 * DAY_US, 3 * DAY_US).select("namespace", "channel", "boot", "base_us")
 
 
 @query("select namespace, channel, boot, base_us, bool_or(coalesce(event in (4,99),false)) or bool_or(coalesce(metric=2,false)) as touched from entries group by all")
