@@ -93,9 +93,10 @@ def test_proximity(spark):
     assert sorted((r.item_id, r.doc_id, r.pos_a, r.pos_b) for r in near.collect()) == [(7, 1, 0, 3), (7, 1, 4, 3)]
 
 
-@pytest.mark.parametrize("unit", [1 << 23, 400])
-def test_passages(docs, empty, monkeypatch, unit):
+@pytest.mark.parametrize(("unit", "hot"), [(1 << 23, 1 << 14), (400, 1 << 14), (400, 3)])
+def test_passages(docs, empty, monkeypatch, unit, hot):
     monkeypatch.setattr(substring_dedup, "UNIT", unit)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     rows = substring_dedup.dedup(docs).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in rows} == brute.passages(ROWS) and len(rows) == len(ROWS)
     assert rows[0].key == "k" and rows[0].n == 5
@@ -108,27 +109,62 @@ def test_passages_of_rows_without_id(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in out) == [(0, 0), (2, 0), (4, 20), (4, 20)]
 
 
-def test_fm_index_finds_what_is_there():
+def test_fm_index_against_brute_force():
     import numpy as np
 
-    from tidemark.llm.fm_index import FMIndex
+    from tidemark.llm.fm_index import FMIndex, streamed
 
     r = np.random.default_rng(1)
-    lengths = np.sort(r.integers(13, 30, 20))[::-1]
-    text = r.integers(0, 4, lengths.sum()) * 10 + 5
-    index = FMIndex(text, lengths)
-    starts = np.cumsum(lengths) - lengths
-    parts = [text[s : s + n] for s, n in zip(starts, lengths)]
-    for m in (1, 3, 13):
-        patterns = np.array([p[:m] for p in parts] + [[999] * m, [5] * m])
-        lo, hi = index.find(patterns)
-        want = [sum((p[k : k + m] == q).all() for p in parts for k in range(len(p) - m + 1)) for q in patterns]
-        assert (hi - lo).tolist() == want
-    owners = index.least(np.arange(len(parts)))
-    for j, classes in enumerate(index.classes_of_windows(np.arange(len(parts)), lengths - 12)):
-        for i, c in enumerate(classes):
-            window = parts[i][len(parts[i]) - 13 - j :][:13]
-            assert owners[c] == min(o for o, p in enumerate(parts) for k in range(len(p) - 12) if (p[k : k + 13] == window).all())
+    for words, n in ((2, 40), (4, 20), (50, 8)):
+        lengths = r.integers(13, 40, n)
+        text = r.integers(0, words, lengths.sum()) * 10 + 5
+        value = r.integers(0, 1000, n)
+        index = FMIndex(text, lengths, value)
+        least = {}
+        for part, v in zip(np.split(text, np.cumsum(lengths)[:-1]), value, strict=True):
+            for k in range(len(part) - 12):
+                w = tuple(part[k : k + 13])
+                least[w] = min(v, least.get(w, FMIndex.NONE))
+        # Texts that the index doesn't hold, some of them with symbols that it doesn't know, beside all that it holds.
+        others = [np.concatenate([text[:20], r.integers(0, words, 9) * 10 + 5, [7777], text[3:30]]), np.full(14, 9)]
+        foreign = np.concatenate([text, *others])
+        sizes = np.append(lengths, [len(x) for x in others])
+        want = [least.get(tuple(p[k : k + 13]), FMIndex.NONE) for p in np.split(foreign, np.cumsum(sizes)[:-1]) for k in range(len(p) - 12)]
+        assert index.matches(foreign, sizes).tolist() == want
+        assert np.concatenate([*streamed(index, foreign, sizes, chunk=50)]).tolist() == want
+
+
+def test_fm_index_is_compressed_and_searched():
+    import numpy as np
+
+    from tidemark.llm.fm_index import FMIndex
+
+    r = np.random.default_rng(2)
+    lengths = np.full(4000, 25)
+    text = r.zipf(1.3, lengths.sum()) % 5000 << 20  # symbols of eight bytes each
+    index = FMIndex(text, lengths, np.arange(4000))
+    assert index.nbytes < 4.5 * index.size
+    arrays = [x for x in vars(index).values() if isinstance(x, np.ndarray)]
+    assert sum(x.nbytes for x in arrays if x is not index.value) < index.size  # no suffix array, no text, nothing by position
+    found = index.matches(text, lengths)
+    index.step = lambda symbol, lo, hi: (lo, lo)
+    assert (found < 4000).all() and (index.matches(text, lengths) == FMIndex.NONE).all()
+
+
+def test_passages_need_the_search(spark, monkeypatch):
+    """With a search that finds nothing, nothing is removed: no other path gives results."""
+    import pyarrow as pa
+
+    from tidemark.llm import fm_index
+
+    text = " ".join(f"w{k}" for k in range(20))
+    u = substring_dedup.Unit(pa.array([text, text]))
+    symbols = u.hashes()[substring_dedup.ragged(u.start, u.windows + 12)] >> 24
+    rows = substring_dedup._batch([0], [0], substring_dedup.SEGMENTS, [u.windows.astype("uint8").tobytes()], [substring_dedup._packed(symbols, 5).tobytes()], [u.text.astype("int64").tobytes()])
+    owners = lambda: set(substring_dedup.np.cumsum(substring_dedup.np.frombuffer(substring_dedup._match(pa.Table.from_batches([rows]))["a"][0].as_py(), "int64")).tolist())
+    assert owners() == {0}
+    monkeypatch.setattr(fm_index.FMIndex, "step", lambda self, symbol, lo, hi: (lo, lo))
+    assert owners() == {fm_index.FMIndex.NONE}
 
 
 def test_rules(docs, empty):

@@ -4,15 +4,18 @@ Shards are cut by content, so that equal windows always meet: a window belongs t
 hash in it), and consecutive windows with one minimiser form a segment. Per unit (some megabytes of texts):
 
 1. units() keeps each unit's rows (compressed) and its distinct minimisers, dealt by hash range.
-2. _count() finds minimisers that occur twice or more in the corpus; only their segments go on.
+2. _count() finds minimisers that occur twice or more in the corpus; only their segments go on. It also names hot ones, which
+   stand in HOT different segments and more: a common phrase, each time among other words.
 3. _segments() sends each distinct segment of a unit once, with its smallest doc_id, to the minimiser's shard. A passage that a
-   third of all documents share is one row a unit.
-4. _match() builds an FM-index (a wavelet matrix over the transform of the shard's distinct segments) and streams the segments
-   through it backwards: matching statistics of 13 or more give each window the smallest doc_id that holds it.
+   third of all documents share is one row a unit. Segments of a hot minimiser are cut into windows, each with its own shard,
+   so that no phrase gathers all its surroundings in one place; equal windows still meet.
+4. _match() builds a compressed FM-index (a wavelet matrix over the transform of the shard's distinct segments) and streams the
+   units' segments through it: backward search finds the interval of every window of 13 words, and with it the smallest doc_id
+   that holds it.
 5. _apply() marks the reported intervals in the unit's texts and removes them.
 
-Memory follows units and shards, both bounded by parameters of the cluster (shards: four times spark.sql.shuffle.partitions).
-Symbols are 40-bit word hashes; equal windows are 13 equal symbols.
+Memory follows units and shards. Shards are as many as SHARD bytes of text need, and at least as many as there are shuffle
+partitions. Symbols are 40-bit word hashes; equal windows are 13 equal symbols.
 
 Defined results: a null or empty text has no words and becomes empty; texts shorter than a window only lose white space
 (kept words are joined by one space); a row without doc_id is never an owner and loses nothing; rows that share a doc_id are
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import shuffle_partitions, written
-from tidemark.llm.fm_index import FMIndex
+from tidemark.llm.fm_index import FMIndex, streamed
 from tidemark.llm.hashing import P, Q, Words, mixed, powers, ragged, words_of
 
 WINDOW, GRAM = FMIndex.DEPTH, 5
 UNIT = 1 << 23  # bytes of text
+SHARD = 1 << 24  # bytes of text for which there is a shard
+HOT = 1 << 14  # different segments of one minimiser, counted by unit
 _LOW, _NONE = np.uint64((1 << 40) - 1), np.uint64(2**64 - 1)
 _NO_ID = np.iinfo(np.int64).max
 _ROW = "unit long, part int, kind int, a binary, b binary, c binary"
@@ -74,6 +79,20 @@ class Unit:
         self.key = self.key.astype(np.uint64)
         self.n_words, self.n_texts = words, texts
 
+    def hashes(self) -> np.ndarray:
+        return np.concatenate([w.hash for w in self.parts]) if self.parts else np.zeros(0, np.uint64)
+
+    def keep(self, live: np.ndarray, hot: np.ndarray) -> None:
+        """Leaves the segments `live`; those of them that are `hot` become one segment a window, with the window's own key."""
+        plain, n = live & ~hot, self.windows[hot]
+        start, text = ragged(self.start[hot], n), np.repeat(self.text[hot], n)
+        own = _window_hashes(self.hashes(), start) if len(start) else np.zeros(0, np.uint64)
+        cols = {"start": start, "windows": np.ones(len(start), np.int64), "key": own, "text": text, "content": own}
+        cols = {c: np.concatenate([getattr(self, c)[plain], x]) for c, x in cols.items()}
+        order = np.argsort(cols["start"], kind="stable")
+        for c, x in cols.items():
+            setattr(self, c, x[order])
+
     @staticmethod
     def _segments(w: Words) -> tuple[np.ndarray, ...]:
         n = len(w.hash) - WINDOW + 1
@@ -100,6 +119,13 @@ class Unit:
         return start, windows, best[begin], w.text[start], content
 
 
+def _window_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.uint64)
+    for q in range(WINDOW):
+        out = out * P + hashes[at + q]
+    return mixed(out)
+
+
 def _parts(key: np.ndarray, n: int) -> np.ndarray:
     return ((key >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
 
@@ -131,27 +157,36 @@ def units(docs: DataFrame, n_parts: int) -> DataFrame:
                 with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as stream:
                     stream.write_batch(rows)
                 yield _batch([unit], [0], TEXTS, [sink.getvalue().to_pybytes()])
-                key, count = np.unique(Unit(rows["text"]).key, return_counts=True)
+                u = Unit(rows["text"])
+                key, count = np.unique(u.key, return_counts=True)
+                _, one = np.unique(u.content, return_index=True)
+                kinds = np.bincount(np.searchsorted(key, u.key[one]), minlength=len(key))
+                # How many segments with different words (up to 127: what one unit adds is bounded anyway), and whether there are two or more in all.
+                seen = (np.minimum(kinds, 127) | ((count > 1) << 7)).astype(np.uint8)
                 part = _parts(key, n_parts)
                 order = np.argsort(part, kind="stable")
                 some, ends = np.unique(part, return_counts=True)
                 ends = np.cumsum(ends)
-                yield _batch([unit] * len(some), some, KEYS, _cut(_packed(key[order] & _LOW, 5), ends), _cut((count[order] > 1).astype(np.uint8), ends))
+                yield _batch([unit] * len(some), some, KEYS, _cut(_packed(key[order] & _LOW, 5), ends), _cut(seen[order], ends))
                 unit, first = unit + 1, last
 
     return written(docs.mapInArrow(run, _ROW))
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """One hash range of minimisers: those that occur twice or more go back to their units."""
-    blobs = table["a"].to_pylist()
-    ends = np.cumsum([len(b) // 5 for b in blobs])
-    low = _unpacked(blobs, 5)
-    many = np.frombuffer(b"".join(table["b"].to_pylist()), np.uint8)
-    _, run = np.unique(low, return_inverse=True)
-    twice = (np.bincount(run) + np.bincount(run, many))[run] > 1
-    kept = np.concatenate([[0], np.cumsum(twice)])[ends]
-    return pa.Table.from_batches([_batch(table["unit"].to_pylist(), table["part"].to_pylist(), SHARED, _cut(_packed(low[twice], 5), kept))])
+def _count(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One hash range of minimisers: those that occur twice or more go back to their units, with whether they are hot."""
+        blobs = table["a"].to_pylist()
+        ends = np.cumsum([len(b) // 5 for b in blobs])
+        low = _unpacked(blobs, 5)
+        seen = np.frombuffer(b"".join(table["b"].to_pylist()), np.uint8)
+        _, at = np.unique(low, return_inverse=True)
+        twice = (np.bincount(at) + np.bincount(at, seen >> 7))[at] > 1
+        hot = (np.bincount(at, seen & 127) >= least)[at].astype(np.uint8)
+        kept = np.concatenate([[0], np.cumsum(twice)])[ends]
+        return pa.Table.from_batches([_batch(table["unit"].to_pylist(), table["part"].to_pylist(), SHARED, _cut(_packed(low[twice], 5), kept), _cut(hot[twice], kept))])
+
+    return run
 
 
 def _rows(table: pa.Table) -> pa.RecordBatch:
@@ -165,10 +200,13 @@ def _segments_of(n_parts: int):
         unit, u = table["unit"][0].as_py(), Unit(rows["text"])
         shared = table.filter(pc.equal(table["kind"], SHARED))
         parts = np.repeat(shared["part"].to_numpy(), [len(b) // 5 for b in shared["a"].to_pylist()]).astype(np.uint64)
+        hot = np.frombuffer(b"".join(shared["b"].to_pylist()), np.uint8) > 0
         shared = _unpacked(shared["a"].to_pylist(), 5) | (parts << np.uint64(40))
-        part = _parts(u.key, n_parts)
-        doc = rows["doc_id"].fill_null(_NO_ID).to_numpy(zero_copy_only=False)[u.text]
-        live = np.flatnonzero(np.isin((u.key & _LOW) | (part.astype(np.uint64) << np.uint64(40)), shared) & (doc != _NO_ID))
+        full = (u.key & _LOW) | (_parts(u.key, n_parts).astype(np.uint64) << np.uint64(40))
+        doc = rows["doc_id"].fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+        live = np.isin(full, shared) & (doc[u.text] != _NO_ID)
+        u.keep(live, live & np.isin(full, shared[hot]))
+        doc, part, live = doc[u.text], _parts(u.key, n_parts), np.arange(len(u.key))
         # Distinct segments by shard; each shard's row lists them in this order.
         one, first, inverse = np.unique(u.content[live], return_index=True, return_inverse=True)
         order = np.argsort(part[live][first], kind="stable")
@@ -178,8 +216,7 @@ def _segments_of(n_parts: int):
         least = np.full(len(one), _NO_ID)
         np.minimum.at(least, place[inverse], doc[live])
         windows = u.windows[pick]
-        hashes = np.concatenate([w.hash for w in u.parts]) if u.parts else np.zeros(0, np.uint64)
-        symbols = hashes[ragged(u.start[pick], windows + WINDOW - 1)] >> np.uint64(24)
+        symbols = u.hashes()[ragged(u.start[pick], windows + WINDOW - 1)] >> np.uint64(24)
         some, count = np.unique(part[pick], return_counts=True)
         ends = np.cumsum(count)
         layout = np.stack([np.diff(u.text[live], prepend=0), np.diff(u.start[live], prepend=0), place[inverse]]).astype(np.int32)
@@ -194,7 +231,7 @@ def _segments_of(n_parts: int):
 
 
 def _match(table: pa.Table) -> pa.Table:
-    """One shard: for each window of each unit's segments the smallest doc_id that holds it. Layouts pass through."""
+    """One shard: an index of its distinct segments, through which the units' segments are streamed; for each of their windows the smallest doc_id that holds it. Layouts pass through."""
     layouts = table.filter(pc.equal(table["kind"], LAYOUT)).select(_NAMES)
     table = table.filter(pc.equal(table["kind"], SEGMENTS))
     if not table.num_rows:
@@ -207,20 +244,11 @@ def _match(table: pa.Table) -> pa.Table:
     start = np.cumsum(length) - length
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(symbols) * powers(P, len(symbols)), dtype=np.uint64)])
     content = mixed((sums[start + length] - sums[start]) * powers(Q, len(symbols))[start] + windows.astype(np.uint64))
-    _, first, inverse = np.unique(content, return_index=True, return_inverse=True)
-    order = np.argsort(-windows[first], kind="stable")
-    pick, place = first[order], np.empty(len(first), np.int64)
-    place[order] = np.arange(len(first))
-    inverse = place[inverse]
+    _, pick, inverse = np.unique(content, return_index=True, return_inverse=True)
     owner = np.full(len(pick), _NO_ID)
     np.minimum.at(owner, inverse, least)
-    index = FMIndex(symbols[ragged(start[pick], length[pick])], length[pick])
-    by_class, n = index.least(owner), windows[pick]
-    ends = np.cumsum(n)
-    found = np.empty(ends[-1], np.int64)
-    for j, classes in enumerate(index.classes_of_windows(np.arange(len(pick)), n)):
-        found[ends[: len(classes)] - 1 - j] = by_class[classes]
-    out = found[ragged((ends - n)[inverse], windows)]
+    index = FMIndex(symbols[ragged(start[pick], length[pick])], length[pick], owner)
+    out = np.concatenate([*streamed(index, symbols, length)])
     cuts = np.cumsum(windows)[np.cumsum([len(b) for b in blobs]) - 1]
     # Steps from one owner to the next, most of which are 0, compress well.
     step = np.diff(out, prepend=0)
@@ -269,11 +297,12 @@ def _apply_to(names: list[str]):
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text replaced by its kept words, plus n_words and n_removed. Needs doc_id and text."""
-    n = 4 * shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    n = max(4 * shuffle_partitions(docs.sparkSession), -(-size // SHARD))
     docs = docs.select(*(c for c in docs.columns if c not in ("n_words", "n_removed")))
     parts = units(docs, n)
     texts = parts.where(F.col("kind") == TEXTS)
-    shared = parts.where(F.col("kind") == KEYS).groupBy("part").applyInArrow(_count, _ROW)
+    shared = parts.where(F.col("kind") == KEYS).groupBy("part").applyInArrow(_count(HOT), _ROW)
     segments = texts.union(shared).groupBy("unit").applyInArrow(_segments_of(n), _ROW)
     owners = segments.groupBy("part").applyInArrow(_match, _ROW)
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
