@@ -67,6 +67,41 @@ def test_groups_of_repeated_rows_and_rows_without_id(spark):
     assert sorted(((r.doc_id or 0), r.component_id) for r in out if r.component_id is not None) == [(0, 3), (3, 3), (5, 3), (5, 3), (7, 7), (8, 8)] and len(out) == 7
 
 
+def test_groups_joined_by_a_row_without_id(spark):
+    w = [f"w{k}" for k in range(200)]
+    rows = [(4, " ".join(w)), (None, " ".join([*w[:-20], *"abcdefghijklmnopqrst"])), (9, " ".join([*w[20:-20], *"abcdefghijklmnopqrst", *(f"z{k}" for k in range(20))])), (None, "x y z a b c d"), (None, "x y z a b c d"), (-3, "q r s t")]
+    want = brute.groups([(1000 + i if d is None else d, t) for i, (d, t) in enumerate(rows)])
+    assert want[9][1] == want[1001][1] == 4  # only through the row without doc_id
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(4, 4), (None, 4), (9, 4), (None, None), (-3, -3)} and len(out) == 6
+
+
+def test_a_chain_of_candidates_without_links_stays_linear(spark):
+    """Each text overlaps with the next one, none enough to link: one component of candidates, of more than a hundred times SHARD sets."""
+    def pairs(n):
+        texts = spark.range(n).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(id * 8, id * 8 + 19), x -> concat('w', x))) as text")
+        table = ngram_join.profile(texts)
+        sets = ngram_join.shared(texts, ngram_join.heavy_shingles(table, 16 * n), 16 * n).selectExpr("k1 as node", "n", "unshared", "ordered")
+        size = ngram_join.grouped(*ngram_join.prefix_lists(sets)).groupBy("hub").count()
+        return size.selectExpr("sum(count * count)").first()[0], texts
+
+    n = 110 * ngram_join.SHARD
+    few, texts = pairs(n)
+    many, _ = pairs(2 * n)
+    assert 0 < few < 20 * n and many < 2.2 * few
+    assert ngram_join.join(texts).where("component_id = doc_id").count() == n
+
+
+@pytest.mark.parametrize("shard", [96, 8])
+def test_long_lists_without_links(spark, monkeypatch, shard):
+    """Texts that share a phrase, which holds their prefix, and differ otherwise in words that others have too."""
+    monkeypatch.setattr(ngram_join, "SHARD", shard)
+    r = random.Random(5)
+    phrases = [" ".join(f"p{i}x{k}" for k in range(9)) for i in range(9)]
+    rows = [(i, " ".join(r.sample(phrases, r.choice([2, 3])))) for i in range(300)]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == brute.groups(rows)
+
+
 def test_representatives(docs):
     want = {i for i, (_, c) in brute.groups(ROWS).items() if i == c}
     kept = ngram_join.representatives(docs)

@@ -1,7 +1,7 @@
 """Connected components of a graph whose edges are a table, by alternating large and small stars.
 
 Each round replaces the edges by stars around smaller nodes; rounds are few (they grow with the logarithm of the longest
-path). Minima are pre-aggregated, every round is written to the shared folder, and the joins are plain equi-joins on written
+path). Minima are pre-aggregated, each half of a round is written to the shared folder, and the joins are plain equi-joins on written
 tables, so adaptive execution can split a hub. Nothing but a checksum of two numbers reaches the driver.
 """
 
@@ -41,15 +41,12 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b: bigint) -> (node, component): each node of an edge and the smallest node that it reaches."""
     edges = written(edges.where("a <> b").mapInArrow(_forest, "a long, b long"))
     before = None
-    while True:
+    while (now := edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != before and now[0]:
+        before = now
         both = edges.union(edges.select("b", "a"))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = written(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
-        low = written(large.groupBy("a").agg(F.min("b").alias("low")))
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = written(small.union(low).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

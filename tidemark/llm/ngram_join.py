@@ -6,16 +6,22 @@
 2. shared(): shingles are dealt by hash range, as packed arrays per chunk of documents, to count document frequencies; only
    those of two or more documents go back to their chunk. Heavy shingles stay at home, so no range holds an unbounded list.
    The global order is rarest first. A document whose unshared shingles fill its prefix can't link and leaves.
-3. blocks(): documents that share a prefix shingle (the positions that the threshold's length bounds allow) form candidate
-   components, found through a star per shingle.
-4. links(): each block is joined by a trie of its ordered sets: a probe walks it once, sharing the overlap of common
+3. prefix_lists(): documents that share a prefix shingle (the positions that the threshold's length bounds allow) are candidates;
+   a shingle's documents are a list. Lists with the same smallest document (their hub) form one group, to which each document
+   goes once, however many shingles it shares there. Only documents of one group can be compared.
+4. links(): each group is joined by a trie of its ordered sets: a probe walks it once, sharing the overlap of common
    beginnings, and prunes subtrees whose remaining length can't reach the required overlap. Documents that are already
-   connected aren't compared. A block of over SHARD documents is dealt to shards that all hold its pivots; what isn't
-   connected to the block's main component afterwards is compared with every shard. No pair is left out at any size.
+   connected aren't compared. A group of over SHARD documents is dealt to shards that all hold its pivots; what isn't
+   connected to the main component of a list afterwards is compared within its own lists, with sets of similar size, in
+   pieces of SHARD. No pair is left out at any size.
+
+The input is read twice and dealt to chunks in its order, so that it should be a table (as a stage's input is) and not a plan
+that gives other rows when a task is repeated.
 
 Defined results: a null or empty text has no shingles and links with nothing; with fewer words than a shingle the whole
 sequence is one; rows that share a doc_id count as one document, of which each row is returned; a row without doc_id links
-like any other, but its component takes its name from rows with ids, else is null; an empty table gives an empty table.
+like any other and can connect others, but its component takes its name from rows with ids, else is null; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -35,8 +41,8 @@ from tidemark.llm.hashing import Words, mixed, ragged, words_of
 
 SHINGLE = 5
 HEAVY = 1 << 16
+RANGE = 1 << 20  # shingles for which there is a hash range
 SHARD = 96
-PIVOTS = 3
 _LOW = np.uint64((1 << 48) - 1)
 _HASH_BITS = np.uint64(55)
 _HEAVY_CLASS = 255
@@ -118,9 +124,8 @@ def profile(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, heavy boolean"))
 
 
-def heavy_shingles(table: DataFrame) -> np.ndarray:
+def heavy_shingles(table: DataFrame, total: int) -> np.ndarray:
     """At most HEAVY shingles: those that hold at least 1 / HEAVY of all occurrences by the merged summaries."""
-    total = table.where("not heavy").agg(F.sum("n")).first()[0] or 0
     rows = table.where("heavy").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total // HEAVY)).orderBy(F.desc("n"), "k1").limit(HEAVY)
     return np.sort(rows.select("k1").toPandas()["k1"].to_numpy(np.int64).view(np.uint64))
 
@@ -232,24 +237,23 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(k1[live]), pa.array(k2[live]), pa.array(size[live]), pa.array((size - shared)[live]), lists], schema=schema)
 
 
-def shared(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(k1, k2, n, unshared, ordered): sets that may link; their shared shingles in global order, rarest first."""
-    n = shuffle_partitions(docs.sparkSession)
-    parts = docs.select("text").mapInArrow(_scatter(4 * n, heavy), _PARTS)
+def shared(docs: DataFrame, heavy: np.ndarray, total: int) -> DataFrame:
+    """(k1, k2, n, unshared, ordered): sets that may link; their shared shingles in global order, rarest first. total: shingles of all sets."""
+    n = max(4 * shuffle_partitions(docs.sparkSession), -(-total // RANGE))
+    parts = docs.select("text").mapInArrow(_scatter(n, heavy), _PARTS)
     return parts.groupBy("bucket").applyInArrow(_count, _PARTS).groupBy("chunk").applyInArrow(_gather, _SETS)
 
 
-def blocks(sets: DataFrame) -> DataFrame:
-    """(node, block): sets (node, n, unshared, ordered) that may link, directly or through others."""
+def prefix_lists(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sets (node, n, unshared, ordered): (node, shingle) of their prefix positions, and (shingle, hub, far) of the lists in which two sets may link: hub and far are the list's smallest and largest node."""
     n = F.col("n")
     least = n - F.ceil(3 * n / 4) + 1 - F.col("unshared")
     index = n - F.ceil(6 * n / 7) + 1 - F.col("unshared")
     entries = sets.select("node", index.alias("index"), F.posexplode(F.slice("ordered", F.lit(1), F.greatest(least, F.lit(0)).cast("int"))).alias("i", "shingle"))
     entries = written(entries.select("node", "shingle", (F.col("i") < F.col("index")).alias("indexed")))
     # Of two sets that link, the smaller meets the other within its index positions.
-    hubs = written(entries.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.max("indexed").alias("any")).where("any and far > hub").select("shingle", "hub"))
-    edges = entries.join(hubs, "shingle").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    return components(edges).withColumnRenamed("component", "block")
+    lists = entries.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.max("indexed").alias("any")).where("any and far > hub")
+    return entries, written(lists.select("shingle", "hub", "far"))
 
 
 class Trie:
@@ -342,8 +346,11 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _shard_links(table: pa.Table) -> pa.Table:
-    """Links of one shard (node, n, ordered, probe, known): every set, or the probes alone if there are any, against the others. known: a component, null at first."""
+    """Links of one shard (node, n, ordered, probe, known): every set against all, or the probes against the rest. known: a component, null at first."""
     table = table.sort_by("node")
+    probes = pc.any(table["probe"]).as_py()
+    if probes and pc.all(table["probe"]).as_py():
+        return _EDGES.empty_table()
     nodes, probe, known = table["node"].to_pylist(), table["probe"].to_pylist(), table["known"].to_pylist()
     ordered = table["ordered"].combine_chunks()
     offsets, flat = ordered.offsets.to_numpy(), ordered.values.to_numpy()
@@ -351,7 +358,7 @@ def _shard_links(table: pa.Table) -> pa.Table:
     union = Union(known)
     links: list[tuple[int, int]] = []
     trie = Trie(sets, table["n"].to_numpy())
-    for i in [i for i, p in enumerate(probe) if p] or range(len(nodes)):
+    for i in [i for i, p in enumerate(probe) if p] if probes else range(len(nodes)):
         if union.groups == 1:
             break
         for j in trie.probe(sets[i], int(trie.sizes[i]), lambda m, i=i: union.root(m) == union.root(i)):
@@ -361,42 +368,68 @@ def _shard_links(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
 
 
-def links(sets: DataFrame, block_of: DataFrame) -> DataFrame:
+def grouped(entries: DataFrame, lists: DataFrame) -> DataFrame:
+    """(hub, node): which documents are compared with each other."""
+    return written(entries.join(lists, "shingle").select("hub", "node").distinct())
+
+
+def links(sets: DataFrame) -> DataFrame:
     """(a, b): enough links of sets to connect all that are connected."""
-    sizes = block_of.groupBy("block").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node")).alias("p0"), F.min_by("node", F.xxhash64(F.lit(1), "node")).alias("p1"), F.min_by("node", F.xxhash64(F.lit(2), "node")).alias("p2"))
-    sizes = written(sizes.select("block", F.ceil(F.col("members") / SHARD).cast("int").alias("n_shards"), F.array("p0", "p1", "p2").alias("pivots")))
-    rows = sets.join(block_of, "node").join(sizes, "block")
+    entries, lists = prefix_lists(sets)
+    members = grouped(entries, lists)
+    sizes = members.groupBy("hub").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node")).alias("p0"), F.min_by("node", F.xxhash64(F.lit(1), "node")).alias("p1"), F.min_by("node", F.xxhash64(F.lit(2), "node")).alias("p2"))
+    sizes = written(sizes.select("hub", F.ceil(F.col("members") / SHARD).cast("int").alias("n_shards"), F.array("p0", "p1", "p2").alias("pivots")))
     own = F.pmod(F.xxhash64("node"), F.col("n_shards")).cast("int")
     everywhere = F.array_contains("pivots", F.col("node")) & (F.col("n_shards") > 1)
-    rows = rows.select("block", "node", "n", "ordered", "n_shards", own.alias("own"), F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("n_shards") - 1)).otherwise(F.array(own))).alias("shard"))
-    rows = written(rows)
-    void = F.lit(None).cast("bigint")
-    first = written(rows.select("block", "shard", "node", "n", "ordered", F.lit(False).alias("probe"), void.alias("known")).groupBy("block", "shard").applyInArrow(lambda t: _shard_links(t), "a long, b long"))
-    # Blocks of several shards: what isn't in the largest component so far is compared with all shards.
-    large = rows.where("n_shards > 1 and shard = own")
-    reached = written(components(first))
-    large = large.join(reached, "node", "left").withColumn("known", F.coalesce("component", "node"))
-    large = written(large.drop("component"))
-    main = large.groupBy("block", "known").agg(F.count("*").alias("m")).groupBy("block").agg(F.max_by("known", F.struct("m", "known")).alias("main"))
-    late = large.join(written(main), "block").where("known <> main")
-    piece = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(1 << 20))
-    counts = written(late.groupBy("block").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("n_pieces")))
-    columns = ["block", "shard", "piece", "node", "n", "ordered", "probe", "known"]
-    late = late.join(counts, "block").withColumn("piece", (piece % F.col("n_pieces")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1))).withColumn("probe", F.lit(True))
-    all_of = large.join(counts, "block").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1))).withColumn("probe", F.lit(False))
-    second = late.select(columns).union(all_of.select(columns)).groupBy("block", "shard", "piece").applyInArrow(lambda t: _shard_links(t), "a long, b long")
-    return first.union(written(second))
+    dealt = members.join(sizes, "hub").select("hub", "node", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("n_shards") - 1)).otherwise(F.array(own))).alias("shard"))
+    rows = dealt.join(sets.select("node", "n", "ordered"), "node").select("hub", "shard", "node", "n", "ordered", F.lit(False).alias("probe"), F.lit(None).cast("bigint").alias("known"))
+    first = written(rows.groupBy("hub", "shard").applyInArrow(lambda t: _shard_links(t), "a long, b long"))
+    large = sizes.where("n_shards > 1").select("hub")
+    if large.isEmpty():
+        return first
+    return first.union(_late_links(sets, entries.join(lists.join(large, "hub"), "shingle"), components(first)))
+
+
+def _late_links(sets: DataFrame, entries: DataFrame, reached: DataFrame) -> DataFrame:
+    """Links that the shards of large groups couldn't show. entries (hub, far, shingle, node): lists of large groups; reached: components so far. Lists of one hub and one far node hold much the same sets and are one. In each, what isn't in its main component is held against the rest of the list, of which only sets of a similar size are asked; a long list is dealt to pieces, and each pair of pieces is a task's."""
+    key = ["hub", "far"]
+    rows = entries.select(*key, "node").distinct().join(reached, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("known"))
+    rows = written(rows.join(sets.select("node", F.length(F.bin("n")).alias("band")), "node"))
+    main = rows.groupBy(*key, "known").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max_by("known", F.struct("m", "known")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    rows = written(rows.join(main.select(*key, "main"), key))
+    late = F.col("known") != F.col("main")
+    # Sets that link differ in size by a third at most, so in their number of binary digits by one.
+    pieces = rows.where(late).groupBy(*key).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("n_pieces"))
+    shards = rows.groupBy(*key, "band").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("n_shards"))
+    pieces, shards = written(pieces), written(shards)
+    piece = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("n_pieces")).cast("int")
+    shard = F.pmod(F.xxhash64("node"), F.col("n_shards")).cast("int")
+    place = [*key, "band", "piece", "shard", "node", "known", "probe"]
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    asking = rows.where(late).withColumn("band", near).join(shards, [*key, "band"]).join(pieces, key)
+    asking = asking.withColumn("piece", piece).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1))).withColumn("probe", F.lit(True))
+    asked = rows.join(shards, [*key, "band"]).join(pieces, key)
+    asked = asked.withColumn("shard", shard).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1))).withColumn("probe", F.lit(False))
+    both = asking.select(place).union(asked.select(place)).join(sets.select("node", "n", "ordered"), "node")
+    return written(both.groupBy(*key, "band", "piece", "shard").applyInArrow(lambda t: _shard_links(t), "a long, b long"))
 
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     table = profile(docs)
     rows = table.where("not heavy").drop("heavy")
-    classes = written(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    sets = shared(docs, heavy_shingles(table)).groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("ordered").alias("ordered"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    # A class without doc_id has a node made of its key.
+    node = F.coalesce(F.min("doc_id"), F.col("k1").bitwiseOR(F.lit(-(1 << 63)).cast("bigint")))
+    classes = written(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("own"), node.alias("node")))
+    sets = shared(docs, heavy_shingles(table, total), total).groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("ordered").alias("ordered"))
     sets = written(sets.join(classes, ["k1", "k2"]).select("node", "n", "unshared", "ordered"))
-    found = written(components(links(sets, written(blocks(sets)))))
-    named = written(classes.join(found, "node", "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("component", "node").alias("__component")))
+    found = components(links(sets))
+    named = written(classes.join(found, "node", "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "own", F.coalesce("component", "node").alias("__component")))
+    if not named.where("own is null").isEmpty():
+        names = named.groupBy("__component").agg(F.min("own").alias("__name"))
+        named = written(named.join(names, "__component").select("__k1", "__k2", F.col("__name").alias("__component")))
+    named = named.select("__k1", "__k2", "__component")
     rows = rows.join(named, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")) & (F.col("n") > 0), "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("__component")).otherwise(F.col("doc_id")).alias("component_id"))
 
