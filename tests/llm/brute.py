@@ -74,6 +74,28 @@ def contaminated(rows, items):
     return out
 
 
+def near_items(rows, items, slop):
+    """doc_id -> number of items of which a window's two rarest terms stand as in the window but for slop words"""
+    df = {}
+    for _, t in rows:
+        for w in terms(t):
+            df[w] = df.get(w, 0) + 1
+    out = {i: set() for i, _ in rows}
+    for item, t in items:
+        w = terms(t)
+        m = min(13, len(w))
+        for k in range(len(w) - m + 1 if w else 0):
+            ranked = sorted((df.get(x, 0), x, off) for off, x in enumerate(w[k : k + m]))
+            if ranked[0][0]:
+                (_, a, oa), (_, b, ob) = ranked[0], ranked[min(1, m - 1)]
+                for i, text in rows:
+                    d = terms(text)
+                    pa, pb = ([p - o for p, x in enumerate(d) if x == term] for term, o in ((a, oa), (b, ob)))
+                    if any(abs(p - q) <= slop for p in pa for q in pb):
+                        out[i].add(str(item))
+    return {i: len(x) for i, x in out.items()}
+
+
 def passages(rows):
     """doc_id -> (n_words, n_removed, kept)"""
     all_of, owner = {i: words(t) for i, t in rows}, {}

@@ -114,6 +114,8 @@ def test_contamination(spark, docs, empty):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     rows = decontam.judge(docs, bench).collect()
     assert {x.doc_id: (x.n_words, x.n_hit, x.item_ids) for x in rows} == brute.contaminated(ROWS, items) and len(rows) == len(ROWS)
+    some = [i for i in items if i[0] != 90]  # 9008 holds one word thousands of times
+    assert {x.doc_id: x.n_near_items for x in rows if x.doc_id != 9008} == brute.near_items([r for r in ROWS if r[0] != 9008], some, decontam.SLOP)
     assert all(x.contaminated == (x.n_hit > 0 and 20 * x.n_hit >= x.n_words) and x.key == "k" for x in rows)
     clean = decontam.clean(docs, bench)
     assert clean.columns == docs.columns and {x.doc_id for x in clean.collect()} == {x.doc_id for x in rows if not x.contaminated}
@@ -121,9 +123,22 @@ def test_contamination(spark, docs, empty):
     assert decontam.judge(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_an_item_of_one_common_word(spark):
+    """Candidates are one row a document, not one an occurrence, and carry no items or terms."""
+    rows = [(i, "the " * (500 if i % 2 else 40) + f"w{i}") for i in range(60)] + [(100, "no such word"), (None, "the"), (None, "the")]
+    items = [(i, "The") for i in range(50)] + [(70, "the the"), (71, "w3 the")]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {x.doc_id: (x.n_words, x.n_hit, len(x.item_ids), x.n_near_items, x.contaminated) for x in decontam.judge(docs, bench).collect()}
+    assert got[1] == (501, 500, 51, 51, True) and got[2] == (41, 40, 51, 51, True) and got[100] == (3, 0, 0, 0, False) and got[None] == (1, 1, 50, 51, True)
+    assert got[3] == (501, 500, 51, 52, True)  # "the" before "w3" is near, not exact
+    assert decontam.clean(docs, bench).count() == 1
+    index = decontam.postings(decontam.tokens(docs), spark.createDataFrame([("the",)], "term string"))
+    assert index.count() == 61 and index.selectExpr("max(size(positions))").first()[0] == 500
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b a"), (2, "a x x x x x b")], "doc_id bigint, text string")
-    index = decontam.postings(docs, spark.createDataFrame([("a",), ("b",)], "term string"))
+    index = decontam.postings(decontam.tokens(docs), spark.createDataFrame([("a",), ("b",)], "term string"))
     near = decontam.proximity(index, spark.createDataFrame([(7, "a", "b")], "item_id bigint, a string, b string"), slop=3)
     assert sorted((r.item_id, r.doc_id, r.pos_a, r.pos_b) for r in near.collect()) == [(7, 1, 0, 3), (7, 1, 4, 3)]
 

@@ -1,14 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index over the training documents.
 
-1. Benchmark items become windows (13 words; shorter items are one window). Equal windows are one row.
-2. Corpus frequencies of the benchmark's terms are counted over all documents; a window with an absent term can't occur.
-3. Postings (term, document, position) of each window's rarest terms are stored as a Parquet index.
-4. Offset-adjusted lists are intersected from the rarest term on: what both rarest terms place at one start is a candidate.
-5. Candidates are verified word by word where they meet their document, which gives exact phrase matches; proximity()
-   answers slop queries from the same postings.
+1. Documents are split into words once; the words are kept as a scratch table.
+2. Benchmark items become windows (13 words; shorter items are one window). Equal windows are one row.
+3. Corpus frequencies of the benchmark's terms are counted over all documents; a window with an absent term can't occur.
+4. Postings of each window's two rarest terms are stored as a Parquet index: (term, document, positions), a row for each term
+   and document, however often the one stands in the other.
+5. Offset-adjusted position lists are intersected from the rarest term on. Where both terms place a window's start alike it is a
+   candidate; where they place it at most `slop` words apart it is a proximity match.
+6. Candidates meet their document's words, where the phrase is compared as a whole (by 64-bit hash; windows of one and two words
+   need no such check). A document's candidates are numbers alone: a window's id, length and starts, at most as many as
+   the document has words a window. Items join in after that, a row for each document and item.
 
 Built-in functions and equi-joins only. Only tables below Spark's broadcast threshold are broadcast, by its own size check; a
-larger benchmark takes the shuffled join, which adaptive execution splits where a term is hot. Texts are shuffled once.
+larger benchmark takes the shuffled join, which adaptive execution splits where a term is hot. Texts are never shuffled, and
+words only to candidates.
 
 Defined results: null or empty texts have no words, no hits and are clean; rows that share doc_id and text are judged alike,
 also without doc_id; items without words match nothing; items without item_id mark words but are not listed; an empty table on
@@ -20,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, shared_folder, written
+from tidemark.llm.common import ascii_lower, drop, shared_folder, written
 
 WINDOW = 13
+SLOP = 5
 #: What separates words after lower-casing: ASCII that is neither a digit nor a letter.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RESULT = ("n_words", "n_hit", "item_ids", "contaminated")
+RESULT = ("n_words", "n_hit", "item_ids", "n_near_items", "contaminated")
 
 
 def terms(text: Column) -> Column:
@@ -41,18 +47,21 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("terms").agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.xxhash64("terms").alias("wid"), "terms", "items")
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(terms(F.col("text"))).alias("pos", "term"))
+def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, tag, n_words, words) of docs (doc_id, text), stored. tag: a hash of the text, as rows may share a doc_id."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.explode(F.array(terms(F.col("text")))).alias("words"))
+    return written(split.select("doc_id", "tag", F.size("words").alias("n_words"), "words"), path)
 
 
-def frequencies(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def frequencies(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, df): occurrences in all documents of the vocabulary's terms."""
-    return _tokens(docs).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return tokens.select(F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame, path: str | None = None) -> DataFrame:
-    """The index: (term, doc_id, tag, pos) of every occurrence of the vocabulary's terms, stored as Parquet."""
-    return written(_tokens(docs).join(vocabulary, "term", "left_semi").select("term", "doc_id", "tag", "pos"), path)
+def postings(tokens: DataFrame, vocabulary: DataFrame, path: str | None = None) -> DataFrame:
+    """The index: (term, doc_id, tag, positions) of the vocabulary's terms, stored as Parquet."""
+    each = tokens.select("doc_id", "tag", F.posexplode("words").alias("pos", "term")).join(vocabulary, "term", "left_semi")
+    return written(each.groupBy("term", "doc_id", "tag").agg(F.sort_array(F.collect_set("pos")).alias("positions")), path)
 
 
 def anchored(wins: DataFrame, df: DataFrame) -> DataFrame:
@@ -62,62 +71,99 @@ def anchored(wins: DataFrame, df: DataFrame) -> DataFrame:
     return wins.join(each.select("wid", F.get("by_df", F.lit(0)).alias("a"), F.coalesce(F.get("by_df", F.lit(1)), F.get("by_df", F.lit(0))).alias("b")), "wid")
 
 
-def candidates(index: DataFrame, wins: DataFrame) -> DataFrame:
-    """(doc_id, tag, start, wid) at which both anchors of a window agree."""
+def candidates(index: DataFrame, wins: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(doc_id, tag, wid, m, starts, near): where both anchors of a window (m words) agree, and whether they do within slop words. Windows that neither holds for have no row."""
     def starts(anchor: str) -> DataFrame:
-        lists = wins.select("wid", F.col(f"{anchor}.term").alias("term"), F.col(f"{anchor}.off").alias("off"))
-        return index.join(lists, "term").select("doc_id", "tag", (F.col("pos") - F.col("off")).alias("start"), "wid").where("start >= 0")
-
-    a, b = starts("a"), starts("b").withColumnsRenamed({"doc_id": "d", "tag": "t", "start": "s", "wid": "w"})
-    same = a["doc_id"].eqNullSafe(b["d"]) & (a["tag"].eqNullSafe(b["t"])) & (a["start"] == b["s"]) & (a["wid"] == b["w"])
-    return a.join(b, same, "left_semi")
-
-
-def _judged(w: Column, found: Column) -> Column:
-    """Words, hits and items of one document, from its words and its candidates."""
-    real = F.filter(F.coalesce(found, F.array().cast("array<struct<start:int,terms:array<string>,items:array<string>>>")), lambda c: F.slice(w, c["start"] + 1, F.size(c["terms"])) == c["terms"])
+        lists = wins.select("wid", F.size("terms").alias("m"), F.col(f"{anchor}.term").alias("term"), F.col(f"{anchor}.off").alias("off"))
+        return index.join(lists, "term").select("doc_id", "tag", "wid", "m", F.transform("positions", lambda p: p - F.col("off")).alias("starts"))
+
+    one = starts("a")
+    a = one.where("m > 1")
+    b = starts("b").where("m > 1").select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("wid").alias("w"), F.col("starts").alias("others"))
+    both = a.join(b, a["doc_id"].eqNullSafe(b["d"]) & a["tag"].eqNullSafe(b["t"]) & (a["wid"] == b["w"]))
+    agreed = F.filter(F.array_intersect("starts", "others"), lambda x: x >= 0)
+    near = F.arrays_overlap(F.flatten(F.transform("starts", lambda x: F.sequence(x - slop, x + slop))), "others")
+    both = both.select("doc_id", "tag", "wid", "m", agreed.alias("starts"), near.alias("near")).where("near")
+    return both.unionByName(one.where("m = 1").withColumn("near", F.lit(True)))
+
+
+def _covered(spans: Column) -> Column:
+    """How many words lie in spans (structs of start s and end e)."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["e"]).alias("end"))
+    return F.aggregate(F.sort_array(spans), zero, step)["n"]
+
+
+def hits(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, tag, n_hit, wids) of documents that hold windows, from candidates: each is compared with the document's words."""
+    found = found.where(F.size("starts") > 0).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("wid", "m", "starts")).alias("found"))
+    found = found.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "found")
+    same = tokens["doc_id"].eqNullSafe(found["__doc"]) & tokens["tag"].eqNullSafe(found["__tag"])
+    rows = tokens.join(found, same).dropDuplicates(["__doc", "__tag"])
+    real = F.transform("found", lambda c: F.struct(c["wid"].alias("wid"), c["m"].alias("m"), F.filter(c["starts"], lambda x: (c["m"] <= 2) | (F.xxhash64(F.slice("words", x + 1, c["m"])) == c["wid"])).alias("starts")))
+    # A generator's output isn't copied into filters above it, so each document is judged once.
+    rows = rows.select("__doc", "__tag", F.explode(F.array(F.filter(real, lambda c: F.size(c["starts"]) > 0))).alias("real")).where(F.size("real") > 0)
+    spans = F.flatten(F.transform("real", lambda c: F.transform(c["starts"], lambda x: F.struct(x.alias("s"), (x + c["m"]).alias("e")))))
+    return rows.select(F.col("__doc").alias("doc_id"), F.col("__tag").alias("tag"), _covered(spans).cast("bigint").alias("n_hit"), F.col("real.wid").alias("wids"))
 
-    def counted(hits: Column) -> Column:
-        spans = F.sort_array(F.transform(hits, lambda c: F.struct(c["start"].alias("s"), (c["start"] + F.size(c["terms"])).alias("e"))))
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-        union = F.aggregate(spans, zero, lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["e"]).alias("end")))
-        items = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda c: c["items"]))))
-        return F.struct(F.size(w).cast("bigint").alias("n_words"), union["n"].cast("bigint").alias("n_hit"), items.alias("item_ids"))
 
-    return F.get(F.transform(F.array(real), counted), F.lit(0))
+def _with_items(rows: DataFrame, wins: DataFrame) -> DataFrame:
+    """rows (doc_id, tag, wid) -> (doc_id, tag, item_ids), sorted."""
+    each = rows.join(wins.select("wid", "items"), "wid").select("doc_id", "tag", F.explode("items").alias("item")).distinct()
+    return each.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """docs with n_words, n_hit, item_ids and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
-    spark, base = docs.sparkSession, docs.select("doc_id", "text")
-    path = shared_folder(spark)
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, slop: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Written: tokens, windows, candidates, hits."""
+    path = shared_folder(docs.sparkSession)
     wins = written(windows(benchmark, window), f"{path}/windows")
     vocabulary = written(wins.select(F.explode("terms").alias("term")).distinct(), f"{path}/vocabulary")
-    wins = written(anchored(wins, written(frequencies(base, vocabulary), f"{path}/frequencies")), f"{path}/anchored")
+    split = tokens(docs.select("doc_id", "text"), f"{path}/tokens")
+    wins = written(anchored(wins, written(frequencies(split, vocabulary), f"{path}/frequencies")), f"{path}/anchored")
     rare = written(wins.select("a.term").union(wins.select("b.term")).distinct(), f"{path}/rare")
-    index = postings(base, rare, f"{path}/postings")
-    found = candidates(index, wins).join(wins.select("wid", "terms", "items"), "wid")
-    found = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "terms", "items")).alias("__found"))
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "__found")
-
+    found = written(candidates(postings(split, rare, f"{path}/postings"), wins, slop), f"{path}/candidates")
+    drop(docs.sparkSession, f"{path}/postings", f"{path}/frequencies", f"{path}/rare", f"{path}/vocabulary")
+    return split, wins, found, written(hits(split, found), f"{path}/hits")
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, slop: int = SLOP) -> DataFrame:
+    """docs with n_words, n_hit, item_ids, n_near_items (items of which a window's rarest terms stand as in the window but for slop words) and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
+    split, wins, found, hit = _found(docs, benchmark, window, slop)
+    near = _with_items(found.where("near").select("doc_id", "tag", "wid"), wins).withColumnRenamed("item_ids", "near_items")
+    exact = _with_items(hit.select("doc_id", "tag", F.explode("wids").alias("wid")), wins)
+    seen = split.select("doc_id", "tag", "n_words").distinct()
+    for part in (hit.drop("wids"), exact, near):
+        part = part.withColumnsRenamed({"doc_id": "__d", "tag": "__t"})
+        seen = seen.join(part, seen["doc_id"].eqNullSafe(part["__d"]) & seen["tag"].eqNullSafe(part["__t"]), "left").drop("__d", "__t")
+    none = F.array().cast("array<string>")
+    seen = seen.select(
+        F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+        F.coalesce("item_ids", none).alias("item_ids"), F.size(F.coalesce("near_items", none)).cast("bigint").alias("n_near_items"),
+    )
     rest = [c for c in docs.columns if c not in RESULT]
-    rows = docs.select(*rest).withColumn("__own", F.xxhash64("text"))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["__doc"]) & rows["__own"].eqNullSafe(found["__tag"]), "left")
-    # The lambda binds the words once, however often they are used.
-    judged = F.get(F.transform(F.array(terms(F.col("text"))), lambda w: _judged(w, F.col("__found"))), F.lit(0))
-    # A generator's output isn't copied into filters above it, so each document is judged once.
-    rows = rows.select(*rest, F.inline(F.array(judged)))
-    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    rows = docs.select(*rest, F.xxhash64("text").alias("__own"))
+    rows = rows.join(seen, rows["doc_id"].eqNullSafe(seen["__doc"]) & rows["__own"].eqNullSafe(seen["__tag"])).select(*rest, *RESULT[:-1])
+    return rows.withColumn("contaminated", _contaminated(share))
+
+
+def _contaminated(share: int) -> Column:
+    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    plain = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
-    return judge(plain, benchmark).where(~F.col("contaminated")).select("__row.*")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """The documents that are not contaminated, with their own columns. Only what names contaminated ones is joined, so where these are few, no text is shuffled."""
+    split, _, _, hit = _found(docs, benchmark, window, 0)
+    hit = hit.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "n_hit")
+    sizes = split.select("doc_id", "tag", "n_words")
+    bad = sizes.join(hit, sizes["doc_id"].eqNullSafe(hit["__doc"]) & sizes["tag"].eqNullSafe(hit["__tag"])).where(_contaminated(share))
+    bad = written(bad.select("__doc", "__tag").distinct())
+    same = docs["doc_id"].eqNullSafe(bad["__doc"]) & F.xxhash64(docs["text"]).eqNullSafe(bad["__tag"])
+    return docs.join(bad, same, "left_anti")
 
 
 def proximity(index: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
-    """(item_id, doc_id, tag, pos_a, pos_b): places where terms a and b of pairs (item_id, a, b) stand at most slop words apart. Both lists are dealt by document and a grid of slop words, so no two whole lists meet."""
+    """(item_id, doc_id, tag, pos_a, pos_b): places where terms a and b of pairs (item_id, a, b) stand at most slop words apart; both must be terms of the index. Positions are dealt by document and a grid of slop words, so no two whole lists meet."""
+    index = index.select("term", "doc_id", "tag", F.explode("positions").alias("pos"))
     cell = F.floor(F.col("pos") / slop)
     a = index.join(pairs.withColumnRenamed("a", "term"), "term").select("item_id", "b", "doc_id", "tag", F.col("pos").alias("pos_a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     b = index.select(F.col("term").alias("b"), "doc_id", "tag", F.col("pos").alias("pos_b"), cell.alias("cell"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontam import SLOP
 from tidemark.llm.license_scan import TEMPLATES, THRESHOLD
 from tidemark.llm.quality_rules import RULES, STOP_WORDS, Rule
 from tidemark.llm.url_filter import MAX_LEVELS, TreeSettings, UrlRule
@@ -70,7 +71,7 @@ reach as (select doc_id as a, doc_id as b from d union select r.a, e.b from reac
 select n.doc_id, n.n as n_shingles, min(b) as component_id from n join reach on n.doc_id = reach.a group by n.doc_id, n.n"""
 
 
-def decontamination() -> str:
+def decontamination(slop: int = SLOP) -> str:
     return f"""with i as (select cast(item_id as varchar) as item, {_TERMS} as w from benchmark),
 bw as (select distinct item, w[s:s + least(13, len(w)) - 1] as terms from (select item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as s from i where len(w) > 0)),
 m as (select distinct len(terms) as m from bw),
@@ -78,9 +79,16 @@ d as (select doc_id, {_TERMS} as w from documents),
 dw as (select doc_id, s, m, w[s:s + m - 1] as terms from (select doc_id, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) as s from d, m)),
 h as (select doc_id, s, m, item from dw join bw using (terms)),
 p as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + m)) as pos from h) group by doc_id),
-t as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by doc_id)
+t as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by doc_id),
+x as (select doc_id, unnest(w) as term, generate_subscripts(w, 1) as pos from d),
+f as (select term, count(*) as df from x group by term),
+bt as (select terms, unnest(terms) as term, generate_subscripts(terms, 1) as off from (select distinct terms from bw)),
+br as (select bt.*, row_number() over (partition by terms order by df, term, off) as r from bt join f using (term) qualify count(*) over (partition by terms) = len(terms)),
+ab as (select terms, min(term) filter (where r = 1) as ta, min(off) filter (where r = 1) as oa, min(term) filter (where r = least(2, len(terms))) as tb, min(off) filter (where r = least(2, len(terms))) as ob from br group by terms),
+nw as (select distinct terms, xa.doc_id from ab join x xa on xa.term = ta join x xb on xb.term = tb and xb.doc_id = xa.doc_id and abs((xa.pos - oa) - (xb.pos - ob)) <= {slop}),
+n as (select doc_id, count(distinct item) as n_near_items from nw join bw using (terms) group by doc_id)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join p using (doc_id) left join t using (doc_id)"""
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(n_near_items, 0) as n_near_items from d left join p using (doc_id) left join t using (doc_id) left join n using (doc_id)"""
 
 
 def license_scan(templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD) -> str:

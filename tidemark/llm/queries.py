@@ -40,7 +40,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = decontam.judge(docs, _table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("item_ids", ","), 256)
-    return judged.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), items.alias("items_sha256"), "contaminated")
+    return judged.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), items.alias("items_sha256"), "contaminated", "n_near_items")
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
