@@ -13,7 +13,7 @@
 
 Built-in functions and equi-joins only. Only tables below Spark's broadcast threshold are broadcast, by its own size check; a
 larger benchmark takes the shuffled join, which adaptive execution splits where a term is hot. Texts are never shuffled, and
-words only to candidates.
+words only those of documents with candidates (and of few others, as a filter of fixed size tells them apart).
 
 Defined results: null or empty texts have no words, no hits and are clean; rows that share doc_id and text are judged alike,
 also without doc_id; items without words match nothing; items without item_id mark words but are not listed; an empty table on
@@ -31,6 +31,8 @@ WINDOW = 13
 SLOP = 5
 #: What separates words after lower-casing: ASCII that is neither a digit nor a letter.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bits of the filter that keeps words of documents without candidates from being shuffled: two megabytes, whatever the input.
+FILTER_BITS = 1 << 24
 RESULT = ("n_words", "n_hit", "item_ids", "n_near_items", "contaminated")
 
 
@@ -94,8 +96,18 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), zero, step)["n"]
 
 
+def _may_be_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows whose (doc_id, tag) is in keys, and few others: a bitmap of hashes is broadcast, of FILTER_BITS bits at most."""
+    place = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(FILTER_BITS))
+    keys = keys.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(keys), F.bitmap_bucket_number(place) == F.col("__bucket")).where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("__bucket", "__bits")
+
+
 def hits(tokens: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, tag, n_hit, wids) of documents that hold windows, from candidates: each is compared with the document's words."""
+    tokens = _may_be_in(tokens, found.where(F.size("starts") > 0))
     found = found.where(F.size("starts") > 0).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("wid", "m", "starts")).alias("found"))
     found = found.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "found")
     same = tokens["doc_id"].eqNullSafe(found["__doc"]) & tokens["tag"].eqNullSafe(found["__tag"])
