@@ -79,6 +79,64 @@ def test_members_stand_alone(spark):
         assert record.count(b"WARC/1.1") == 1 and record.endswith(f"page {page}\r\n\r\n".encode())
 
 
+def test_foreign_archives(spark, tmp_path):
+    """Several members and padding, names in lower case, folded lines, other HTTP heads, base 32 digests, other record types, bare line feeds."""
+    import base64
+    import gzip
+
+    page, other = b"<html>\r\n\r\nWARC/1.0\r\n</html>", b"z" * 3_000_000
+    def http(body, head=b"HTTP/1.0 200 Fine\r\nx-a: 1\r\nServer: s\r\n\r\n"):
+        return head + body
+
+    def record(kind, ident, block, *lines, end="\r\n"):
+        head = ["WARC/1.0", f"warc-type:{kind}", f"WARC-RECORD-ID: <urn:uuid:{ident}>", *lines, f"content-length: {len(block)}"]
+        return (end.join(head) + end * 2).encode() + block + b"\r\n\r\n"
+
+    sha = base64.b32encode(hashlib.sha1(page).digest()).decode()
+    kind = "content-type: application/http;msgtype=response"
+    parts = [
+        record("warcinfo", 1, b"software: x\r\n"),
+        record("response", 2, http(page), kind, "warc-target-uri: http://a/\r\n  b", f"WARC-Payload-Digest: sha1:{sha}"),
+        record("response", 3, http(other, b"HTTP/1.1 200\n\n"), kind, end="\n") + record("revisit", 4, b"HTTP/1.1 200 OK\r\n\r\n", kind, f"Warc-Payload-Digest: SHA1:{sha}", "warc-refers-to: <urn:uuid:2>"),
+        record("resource", 5, b""),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/own.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)) + b"\0" * 512)
+    (tmp_path / "in/one stream.gz").write_bytes(gzip.compress(b"".join(parts)))
+    done = warc.normalise(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert {r.archive.rsplit("/", 1)[1]: r.n_records for r in done.collect()} == {"own.warc.gz": 5, "one%20stream.warc.gz": 5}
+    want = [
+        ("<urn:uuid:1>", None, "warcinfo", 13, hashlib.sha1(b"software: x\r\n").hexdigest(), None),
+        ("<urn:uuid:2>", None, "response", len(page), hashlib.sha1(page).hexdigest(), "http://a/ b"),
+        ("<urn:uuid:3>", None, "response", len(other), hashlib.sha1(other).hexdigest(), None),
+        ("<urn:uuid:4>", "<urn:uuid:2>", "revisit", None, hashlib.sha1(page).hexdigest(), None),
+        ("<urn:uuid:5>", None, "resource", 0, hashlib.sha1(b"").hexdigest(), None),
+    ]
+    rows = warc.read(done).collect()
+    assert sorted(((r.record_id, r.refers_to_id, r.record_type, r.payload_bytes, r.payload_digest, r.url) for r in rows), key=repr) == sorted(want * 2, key=repr)
+    assert {bytes(r.payload) for r in rows if r.record_type == "response"} == {page, other} and all(r.page_id is None for r in rows)
+
+
+def test_broken_archives_are_errors():
+    import gzip
+    import io
+
+    import pytest
+
+    whole = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
+    read = lambda data: [(f, b"".join(p)) for f, p in warc.split_records(warc._inflated(io.BytesIO(data)))]
+    assert read(gzip.compress(whole * 3)) == [({"content-length": "5"}, whole)] * 3 and read(b"") == []
+    for data in (gzip.compress(whole[:-8]), gzip.compress(whole[:20]), gzip.compress(whole)[:-9], gzip.compress(b"HTTP" + whole)):
+        with pytest.raises(ValueError):
+            read(data)
+
+
+def test_payloads_of_pages_with_clashing_columns(spark):
+    folder = shared_folder(spark)
+    warc.write(spark.createDataFrame([(1, "u", "p", "x", 5)], "page_id bigint, url string, html string, payload_digest string, target bigint"), f"{folder}/m")
+    assert [(r.page_id, r.payload_bytes, r.record_type) for r in warc.read(warc.normalise(spark, f"{folder}/m", f"{folder}/n")).collect()] == [(1, 1, "response")]
+
+
 def test_no_pages(spark):
     folder = shared_folder(spark)
     warc.write(spark.createDataFrame([], "page_id bigint, url string, html string"), f"{folder}/m")
