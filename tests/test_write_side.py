@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import errors
 from tidemark.fixture import MODEM, RADIO, SCHEMAS, entries, store
 from tidemark.model import ERROR, as_entries
 from tidemark.operators import ingest, limits, spans, storage, timeline
@@ -25,6 +26,7 @@ def test_ingest_writes_what_is_declared_and_reads_back(spark, tmp_path):
     rejected = ingest.ingest(rows, dims, f"{root}/entries")
     assert {r.violation for r in rejected.select("violation").distinct().collect()} == {"unknown_event"}
     s = parquet_store.open_store(spark, root)
+    assert {r.protocol_version for r in s.entries.select("protocol_version").distinct().collect()} == {1}
     assert s.entries.count() + rejected.count() == rows.count() and s.store_id == store_id and s.runs.count() == 0
     direct = Reader(store(spark, DATA), SCHEMAS).matched(Query().event_ids(1, 2, 3, 4))
     keys = ["namespace", "channel", "boot", "at_us", "seq", "name", "severity"]
@@ -136,3 +138,60 @@ def test_segments_that_may_hold_a_window(spark):
     assert bases(None, 100) == [0, 100] and bases(None, 99) == [0] and bases(None, 0) == [0]
     assert pick(table((0, 500), (1, 10), (1, 900)), 400, None) == [(0, 500), (1, 10), (1, 900)]
     assert pick(table((0, 0), (0, 900)), 500, 600) == [(0, 0)] and pick(table((0, 100)), 2**62, None) == [(0, 100)]
+
+
+def test_monotone_over_stretches(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [("n", "c", b, r.randrange(1000), s) for b in (0, 1) for s in r.sample(range(200), 90)]
+    records = spark.createDataFrame(rows, "namespace string, channel string, boot bigint, at_us bigint, seq bigint")
+    want, top = set(), {}
+    for _, _, b, t, s in sorted(rows, key=lambda x: x[4]):
+        top[b] = max(t, top.get(b, 0))
+        want.add((b, s, top[b]))
+    for n in (7, 1 << 20):
+        out = ingest.monotone(records, arrivals=n)
+        assert out.columns == records.columns and {(x.boot, x.seq, x.at_us) for x in out.collect()} == want
+
+
+def test_spans_are_written_with_their_parents(spark):
+    works = [("a", "x", None, 1, 10, 90), ("b", "y", "x", 1, 20, None), ("a", "z", "y", 7, 30, 25), ("a", "q", "gone", 1, 5, 6)]
+    rows = spark.createDataFrame([(0, n, "radio", w, up, k, s, e, i) for i, (n, w, up, k, s, e) in enumerate(works)], "boot bigint, namespace string, schema_name string, work string, within string, span_kind int, start_us bigint, end_us bigint, seq bigint")
+    records = spans.recorded(rows)
+    table = {r.start_us: r for r in spans.spans(records).collect()}
+    assert len({r.span for r in table.values()}) == 4 and min(r.span for r in table.values()) == 1
+    assert table[10].parent is None and table[20].parent == table[10].span and table[30].parent == table[20].span and table[5].parent is None
+    assert table[20].end_us is None and table[30].end_us == 30 and table[10].took_us == 80
+    assert [(r.namespace, r.violation, r.n) for r in ingest.unknown_spans(records, dimensions(spark, SCHEMAS)).collect()] == [("a", "unknown_span_kind", 1)]
+
+
+def test_identities(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    assert parquet_store.read_store_id(spark, root) is None
+    one = parquet_store.create(spark, root)
+    # A second creator that looked before the first one wrote.
+    parquet_store._write_identity(spark, f"{root}/late", 5)
+    assert not parquet_store._moved(spark, f"{root}/late", f"{root}/identity") and parquet_store.create(spark, root) == one == parquet_store.read_store_id(spark, root)
+    monkeypatch.setattr(parquet_store, "CONTAINER_VERSION", 2)
+    assert parquet_store.create(spark, root) == one
+    assert spark.read.parquet(f"{root}/identity").first()["container_version"] == 2
+    monkeypatch.setattr(parquet_store, "CONTAINER_VERSION", 1)
+    with pytest.raises(errors.FromFuture):
+        parquet_store.create(spark, root)
+    for f in (tmp_path / "s/identity").glob("*.parquet"):
+        f.write_bytes(b"no")
+    assert parquet_store.read_store_id(spark, root) is None
+    with pytest.raises(errors.Damaged):
+        parquet_store.create(spark, root)
+
+
+def test_kinds_of_errors(spark, tmp_path):
+    root = str(tmp_path / "s")
+    parquet_store.create(spark, root)
+    parquet_store.add_namespace(spark, root, "a", Schema("x", 2))
+    for name, schema, kind in (("a", Schema("y"), errors.SchemaMismatch), ("a", Schema("x", 1), errors.FromFuture), ("a", Schema("x", 3), errors.MissingMigration), (".a", Schema("x", 2), errors.BadName)):
+        with pytest.raises(kind) as e:
+            parquet_store.add_namespace(spark, root, name, schema)
+        assert isinstance(e.value, errors.StoreError) and e.value.breaks_contract == (kind is not errors.FromFuture) and not e.value.loses_record
+    assert errors.VIOLATIONS["wrong_type"] == (True, True) and not errors.VIOLATIONS["unknown_span_kind"][0]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.model import DEBUG, ERROR, INFO, TRACE, WARN
 from tidemark.operators.reader import Store
 from tidemark.operators.storage import footers
-from tidemark.schema import Event, Metric, Range, Schema, Span, State
+from tidemark.schema import Event, Metric, Range, Schema, Span, State, local_table
 
 DAY_US = 86_400_000_000
 RUN_US = 5 * DAY_US
@@ -85,5 +86,5 @@ def segments(records: DataFrame) -> DataFrame:
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
     records = entries(spark, sf_dir)
-    names = spark.createDataFrame([(f"orc-radio-{i}", "radio") for i in range(4)] + [(f"apt-modem-{i}", "modem") for i in range(3)], "namespace string, schema_name string")
+    names = local_table(spark, [(f"orc-radio-{i}", "radio") for i in range(4)] + [(f"apt-modem-{i}", "modem") for i in range(3)], {"namespace": pa.string(), "schema_name": pa.string()})
     return Store(records.drop("schema_name"), names, *runs(spark), segments=segments(records))

@@ -22,22 +22,22 @@ def severity(bounds: dict[str, Column] | None = None) -> Column:
 
 def messages(entries: DataFrame, dims: Dimensions) -> DataFrame:
     """entries (with schema_name) with name, level and tags of their events. Unknown events have no name and no level, and no tags."""
-    d = F.broadcast(dims.events.select("schema_name", "event", "name", "level", F.col("tags").alias("event_tags")))
+    d = dims.events.select("schema_name", "event", "name", "level", F.col("tags").alias("event_tags"))
     return entries.join(d, ["schema_name", "event"], "left")
 
 
 def samples(entries: DataFrame, dims: Dimensions) -> DataFrame:
     """entries with metric_name, unit, metric_kind, state, number and severity."""
-    d = F.broadcast(dims.metrics.drop("store", "declared_vtype").withColumnRenamed("tags", "metric_tags"))
+    d = dims.metrics.drop("store", "declared_vtype").withColumnRenamed("tags", "metric_tags")
     out = entries.withColumn("number", as_double()).withColumn("state_code", F.when(F.col("kind") == "sample", state_code()))
-    out = out.join(d, ["schema_name", "metric"], "left").join(F.broadcast(dims.states), ["schema_name", "metric", "state_code"], "left")
+    out = out.join(d, ["schema_name", "metric"], "left").join(dims.states, ["schema_name", "metric", "state_code"], "left")
     sample = F.col("kind") == "sample"
     out = out.withColumn("severity_code", F.when(sample, severity())).withColumn("severity", label(F.col("severity_code"), SEVERITIES))
     return out.drop("warn_min", "warn_max", "alarm_min", "alarm_max", "state_severity")
 
 
 def spans(entries: DataFrame, dims: Dimensions) -> DataFrame:
-    return entries.join(F.broadcast(dims.spans.drop("store")), ["schema_name", "span_kind"], "left")
+    return entries.join(dims.spans.drop("store"), ["schema_name", "span_kind"], "left")
 
 
 def effective_level() -> Column:
@@ -46,7 +46,7 @@ def effective_level() -> Column:
 
 
 def enriched(entries: DataFrame, namespaces: DataFrame, dims: Dimensions) -> DataFrame:
-    """All of it: one scan, broadcast joins with what the schemas declare, one projection."""
+    """All of it: one scan, joins with what the schemas declare, one projection."""
     out = entries.join(namespaces.select("namespace", "schema_name"), "namespace", "left")
     out = spans(samples(messages(out, dims), dims), dims)
     return out.withColumn("tags", F.coalesce("event_tags", "metric_tags", F.array().cast("array<string>"))).drop("event_tags", "metric_tags")

@@ -12,6 +12,7 @@ from tidemark.schema import Dimensions
 
 PARTITIONS = ("namespace", "channel", "boot")
 OWN_TARGET = "tidemark"
+SLICE_US = 6 * 3_600_000_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ class ChannelPolicy:
 def routed(records: DataFrame, dims: Dimensions) -> DataFrame:
     """records (with schema_name) with channel: the declared class of their event, metric or span; text goes by level. Null where nothing is declared."""
     def store(table: DataFrame, key: str, name: str) -> DataFrame:
-        return F.broadcast(table.select("schema_name", key, F.col("store").alias(name)))
+        return table.select("schema_name", key, F.col("store").alias(name))
 
     out = records.join(store(dims.events, "event", "__e"), ["schema_name", "event"], "left")
     out = out.join(store(dims.metrics, "metric", "__m"), ["schema_name", "metric"], "left").join(store(dims.spans, "span_kind", "__s"), ["schema_name", "span_kind"], "left")
@@ -55,8 +56,8 @@ def routed(records: DataFrame, dims: Dimensions) -> DataFrame:
 
 def violations(records: DataFrame, dims: Dimensions) -> DataFrame:
     """records with violation: unknown_event, unknown_metric, wrong_type, or null for those that may be written."""
-    events = F.broadcast(dims.events.select("schema_name", "event", F.lit(True).alias("__e")))
-    metrics = F.broadcast(dims.metrics.select("schema_name", "metric", "declared_vtype"))
+    events = dims.events.select("schema_name", "event", F.lit(True).alias("__e"))
+    metrics = dims.metrics.select("schema_name", "metric", "declared_vtype")
     out = records.join(events, ["schema_name", "event"], "left").join(metrics, ["schema_name", "metric"], "left")
     kind = F.col("kind")
     # A state's code may come unsigned for any integral type.
@@ -70,26 +71,42 @@ def announcements(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy("namespace", "violation").agg(F.count("*").alias("n"))
 
 
+def unknown_spans(records: DataFrame, dims: Dimensions) -> DataFrame:
+    """(namespace, violation, n): undeclared span kinds, which are reported but kept."""
+    starts = records.where((F.col("kind") == "span_start") & F.col("schema_name").isNotNull())
+    lost = starts.join(dims.spans.select("schema_name", "span_kind"), ["schema_name", "span_kind"], "left_anti")
+    return announcements(lost.withColumn("violation", F.lit("unknown_span_kind")))
+
+
 def drop_notices(dropped: DataFrame) -> DataFrame:
     """Text records that say how many records each channel lost, at the last loss."""
     lost = dropped.groupBy(*PARTITIONS).agg(F.count("*").alias("n"), F.max("at_us").alias("at_us"))
     return lost.select(*PARTITIONS, "at_us", F.lit("text").alias("kind"), F.lit(ERROR).cast("tinyint").alias("text_level"), F.lit(OWN_TARGET).alias("target"), F.concat(F.col("n").cast("string"), F.lit(" records dropped")).alias("text"))
 
 
-def monotone(records: DataFrame) -> DataFrame:
-    """records with at_us raised to the latest time before it in the channel's run, in order of arrival (seq). Late records move forward; none is lost."""
-    order = Window.partitionBy(*PARTITIONS).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("at_us", F.max("at_us").over(order))
+def monotone(records: DataFrame, arrivals: int = 1 << 20) -> DataFrame:
+    """records with at_us raised to the latest time before it in the channel's run, in order of arrival (seq). Late records move forward; none is lost. The maximum runs within stretches of that many arrivals and, over their own maxima, from one to the next, so that no task takes a whole run."""
+    stretch = F.call_function("div", F.col("seq"), F.lit(arrivals).cast("bigint"))
+    tops = records.groupBy(*PARTITIONS, stretch.alias("__stretch")).agg(F.max("at_us").alias("__top"))
+    before = F.max("__top").over(Window.partitionBy(*PARTITIONS).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.withColumn("__before", before).drop("__top")
+    order = Window.partitionBy(*PARTITIONS, "__stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = records.withColumn("__stretch", stretch).join(tops, [*PARTITIONS, "__stretch"])
+    return rows.withColumn("at_us", F.greatest(F.max("at_us").over(order), "__before")).select(records.columns)
 
 
-def append(records: DataFrame, folder: str, compression: str = "zstd") -> None:
-    """Appends records to the store's Parquet, clustered so that a partition's files are few and sorted by time for row-group pruning."""
-    rows = as_entries(records)
-    rows.repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "at_us", "seq").write.mode("append").partitionBy(*PARTITIONS).option("compression", compression).parquet(folder)
+def append(records: DataFrame, folder: str, compression: str = "zstd", slice_us: int = SLICE_US) -> None:
+    """Appends records to the store's Parquet: a file for each slice of time of a channel's run, so that no task writes a whole run, sorted by time for row-group pruning."""
+    rows = as_entries(records).withColumn("__slice", F.call_function("div", F.col("at_us"), F.lit(slice_us).cast("bigint")))
+    rows = rows.repartition(*PARTITIONS, "__slice").sortWithinPartitions(*PARTITIONS, "at_us", "seq").drop("__slice")
+    rows.write.mode("append").partitionBy(*PARTITIONS).option("compression", compression).parquet(folder)
 
 
 def ingest(records: DataFrame, dims: Dimensions, folder: str) -> DataFrame:
-    """Writes what the schemas allow; returns what they don't, with its violation."""
+    """Writes what the schemas allow, with the version of the schema that it was written under; returns what they don't allow, with its violation."""
+    if "protocol_version" in records.columns:
+        records = records.drop("protocol_version")
+    records = records.join(dims.versions.withColumnRenamed("version", "protocol_version"), "schema_name", "left")
     judged = violations(records, dims)
     append(monotone(routed(judged.where("violation is null").drop("violation", "channel"), dims)), folder)
     return judged.where("violation is not null")

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.errors import SchemaError
 from tidemark.model import SEVERITIES, label
 from tidemark.operators.enrich import severity
-from tidemark.schema import SEVERITY, Range, Schema, SchemaError, check_nesting
+from tidemark.schema import SEVERITY, Range, Schema, check_nesting
 
 BOUNDS = ("warn_min", "warn_max", "alarm_min", "alarm_max")
 
@@ -61,7 +62,7 @@ class Limits:
 
 def effective(namespaces: DataFrame, metrics: DataFrame, overrides: DataFrame) -> DataFrame:
     """(namespace, metric, bounds, overridden): what holds for each numeric metric of each namespace. An override replaces all four bounds."""
-    out = namespaces.select("namespace", "schema_name").join(F.broadcast(metrics.where("metric_kind <> 'state'")), "schema_name")
+    out = namespaces.select("namespace", "schema_name").join(metrics.where("metric_kind <> 'state'"), "schema_name")
     out = out.join(overrides.withColumn("overridden", F.lit(True)), ["namespace", "metric"], "left").withColumn("overridden", F.coalesce("overridden", F.lit(False)))
     return out.select("namespace", "metric", *(F.when(F.col("overridden"), F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) for c in BOUNDS), "overridden")
 
@@ -69,8 +70,8 @@ def effective(namespaces: DataFrame, metrics: DataFrame, overrides: DataFrame) -
 def with_limits(samples: DataFrame, metrics: DataFrame, states: DataFrame, overrides: tuple[DataFrame, DataFrame]) -> DataFrame:
     """samples (namespace, schema_name, metric, number, state_code) with severity under the overlay."""
     ranges, by_state = overrides
-    out = samples.join(F.broadcast(metrics.select("schema_name", "metric", "metric_kind", *BOUNDS)), ["schema_name", "metric"], "left")
-    out = out.join(F.broadcast(states.select("schema_name", "metric", "state_code", "state_severity")), ["schema_name", "metric", "state_code"], "left")
+    out = samples.join(metrics.select("schema_name", "metric", "metric_kind", *BOUNDS), ["schema_name", "metric"], "left")
+    out = out.join(states.select("schema_name", "metric", "state_code", "state_severity"), ["schema_name", "metric", "state_code"], "left")
     out = out.join(ranges.withColumn("__o", F.lit(True)), ["namespace", "metric"], "left").join(by_state, ["namespace", "metric", "state_code"], "left")
     bounds = {c: F.when(F.col("__o"), F.col(f"o_{c}")).otherwise(F.col(c)) for c in BOUNDS}
     out = out.withColumn("state_severity", F.coalesce("o_state", "state_severity"))

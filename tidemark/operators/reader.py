@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tidemark.errors import StoreError
 from tidemark.model import TELEMETRY
 from tidemark.operators import enrich, timeline
 from tidemark.operators.seeds import last_states
@@ -16,8 +17,6 @@ from tidemark.plans import query as plan
 from tidemark.plans.query import NEWEST, Query
 from tidemark.schema import Schema, dimensions
 
-#: Namespaces that a pushed predicate names at most; with more of them levels are filtered after the join alone.
-MOST_NAMES = 1000
 DAMAGE = "path string, offset bigint, reason string"
 
 
@@ -41,12 +40,12 @@ class Result:
     damaged: DataFrame
     unanchored: DataFrame
     most: int | None
-    _counted: dict = field(default_factory=dict)
+    _found: DataFrame
 
     @cached_property
     def truncated(self) -> bool:
-        """Whether the limit was reached; also if nothing more was there."""
-        return self.most is not None and self.entries.count() == self.most
+        """Whether the limit was reached; also if nothing more was there. Counts up to the limit, without order or declared columns."""
+        return self.most is not None and self._found.limit(self.most).count() == self.most
 
     @cached_property
     def complete(self) -> bool:
@@ -62,10 +61,10 @@ class Reader:
         self.anchors = timeline.anchors(store.runs, store.hw_boots)
 
     @cached_property
-    def known(self) -> list[str] | None:
-        """Namespaces with a schema at hand, for predicates on them; None if they are too many for one."""
-        rows = self.store.namespaces.where(F.col("schema_name").isin(*(s.name for s in self.schemas))).select("namespace").limit(MOST_NAMES + 1).collect()
-        return sorted(r.namespace for r in rows) if len(rows) <= MOST_NAMES else None
+    def known(self) -> list[str]:
+        """Namespaces with a schema at hand, for predicates on them: the catalogue's names, which don't grow with the records."""
+        rows = self.store.namespaces.where(F.col("schema_name").isin(*(s.name for s in self.schemas))).select("namespace").collect()
+        return sorted(r.namespace for r in rows)
 
     def schema_of(self, namespace: str) -> Schema | None:
         row = self.store.namespaces.where(F.col("namespace") == namespace).first()
@@ -73,7 +72,8 @@ class Reader:
 
     def namespaces(self) -> DataFrame:
         """(namespace, schema_name, channels, bytes) of the store's namespaces, by name; those without segments have no channels."""
-        sums = self.store.segments.groupBy("namespace").agg(F.sort_array(F.collect_set("channel")).alias("channels"), F.sum("size").alias("bytes"))
+        segments = self.store.segments if self.store.segments is not None else self.store.entries.select("namespace", "channel", F.lit(0).alias("size")).distinct()
+        sums = segments.groupBy("namespace").agg(F.sort_array(F.collect_set("channel")).alias("channels"), F.sum("size").alias("bytes"))
         out = self.store.namespaces.join(sums, "namespace", "left")
         return out.select("namespace", "schema_name", F.coalesce("channels", F.array().cast("array<string>")).alias("channels"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes")).orderBy("namespace")
 
@@ -83,22 +83,55 @@ class Reader:
             return rows
         return rows.where(F.col("store_id").isNull() | (F.col("store_id") == F.lit(self.store.store_id).cast("decimal(20,0)")))
 
+    def _migrated(self, rows: DataFrame) -> DataFrame:
+        """rows with those of earlier versions taken through their schema's migrations. A record's version is its own, else its namespace's; one that no step starts from stays as it is."""
+        moving = [s for s in self.schemas if s.migrations]
+        if not moving:
+            return rows
+        columns = rows.columns
+        names = self.store.namespaces
+        names = names.select("namespace", F.col("schema_name").alias("__schema"), (F.col("protocol_version") if "protocol_version" in names.columns else F.lit(None).cast("int")).alias("__since"))
+        rows = rows.join(names, "namespace", "left")
+        version = F.coalesce(F.col("protocol_version"), F.col("__since")) if "protocol_version" in columns else F.col("__since")
+        steps = [(s, v, (F.col("__schema") == s.name) & (version == v)) for s in moving for v in range(min(m.from_version for m in s.migrations), s.version)]
+        old = reduce(Column.__or__, (test for _, _, test in steps))
+        parts = [rows.where(~F.coalesce(old, F.lit(False))).select(columns)]
+        return reduce(DataFrame.unionByName, [*parts, *(s.migrate(rows.where(test).select(columns), v).select(columns) for s, v, test in steps)])
+
     def selected(self, q: Query) -> DataFrame:
-        """Stored records that q may return: every predicate here is on stored columns and reaches the scan."""
-        return self._own(self.store.entries).where(plan.place(q)).where(plan.relative_window(q)).where(plan.kind_filter(q)).where(plan.pushed_ids(q, self.schemas, self.known if q.level is not None else None))
+        """Stored records that q may return: every predicate here is on stored columns and reaches the scan. A wall-clock window does as bounds by run."""
+        rows = self._migrated(self._own(self.store.entries)).where(plan.place(q)).where(plan.relative_window(q)).where(plan.kind_filter(q))
+        rows = rows.where(plan.pushed_ids(q, self.schemas, self.known if q.level is not None else None))
+        if not q.anchored_only:
+            return rows
+        bands = timeline.bands(self.anchors if q.run is None else self.anchors.where(F.col("boot") == q.run), q)
+        return reduce(DataFrame.unionByName, (rows.where(b) for b in bands)) if bands else rows.where(F.lit(False))
+
+    def _exact(self, q: Query) -> DataFrame:
+        """Stored columns of the records that q selects. Only what its filters need is joined."""
+        rows = self.selected(q)
+        columns = rows.columns
+        if q.anchored_only:
+            rows = timeline.with_utc(rows, self.anchors).where(plan.wall_window(q))
+        if q.level is not None or q.tags or q.event_names:
+            rows = rows.select(columns).join(self.store.namespaces.select("namespace", "schema_name"), "namespace", "left")
+            rows = enrich.messages(rows, self.dims).withColumnRenamed("event_tags", "tags").where(plan.declared(q))
+        return rows.where(plan.later(q)).select(columns)
+
+    def _enriched(self, rows: DataFrame) -> DataFrame:
+        return enrich.enriched(timeline.with_utc(rows, self.anchors), self.store.namespaces, self.dims)
 
     def matched(self, q: Query) -> DataFrame:
         """Enriched records that q selects, in no order."""
-        out = timeline.with_utc(self.selected(q), self.anchors)
-        if q.anchored_only:
-            out = out.where(plan.wall_window(q))
-        return enrich.enriched(out, self.store.namespaces, self.dims).where(plan.declared(q)).where(plan.later(q))
+        return self._enriched(self.selected(q)).where(plan.wall_window(q) if q.anchored_only else F.lit(True)).where(plan.declared(q)).where(plan.later(q))
 
     def query(self, q: Query) -> Result:
-        entries = self.matched(q).orderBy(*plan.order_keys(q.direction))
-        if q.most is not None:
-            entries = entries.limit(q.most)
-        return Result(entries, self.seeds(q), self.damage(), self.unanchored(q), q.most)
+        keys, found = plan.order_keys(q.direction), self._exact(q)
+        if q.most is None:
+            entries = self.matched(q).orderBy(*keys)
+        else:  # the limit comes before whatever isn't needed to take it
+            entries = self._enriched(found.orderBy(*keys).limit(q.most)).orderBy(*keys).limit(q.most)
+        return Result(entries, self.seeds(q), self.damage(), self.unanchored(q), q.most, found)
 
     def stream(self, q: Query) -> Iterator[Row]:
         """The same records one by one, a partition at a time."""
@@ -125,18 +158,22 @@ class Reader:
     def seeds(self, q: Query, strict: bool = False, max_segments: int | None = None) -> DataFrame:
         """The last state of each state series before the window; none unless q asks for seeds and has a start. A span filter leaves none, as samples have no span. strict: match metric ids over all schemas together. max_segments: look at that many newest segments of a channel only."""
         states = self.dims.metrics.where("metric_kind = 'state'").select("schema_name", "metric")
-        rows = self._own(self.store.entries).where(plan.place(q)).where(F.col("kind").isin(*TELEMETRY))
+        rows = self._migrated(self._own(self.store.entries)).where(plan.place(q)).where(F.col("kind").isin(*TELEMETRY))
         if q.spans:
             rows = rows.where(F.coalesce(F.col("span").isin(*q.spans), F.lit(False)))
         if q.start is None or not q.seeds:
             rows = rows.limit(0)
         else:
             before = Query(end=q.start.just_before())
-            rows = timeline.with_utc(rows.where(plan.relative_window(before)), self.anchors)
-            rows = rows.where(plan.wall_window(before)) if before.anchored_only else rows
+            rows = rows.where(plan.relative_window(before))
+            if before.anchored_only:
+                bands = timeline.bands(self.anchors, before)
+                rows = timeline.with_utc(reduce(DataFrame.unionByName, (rows.where(b) for b in bands)) if bands else rows.limit(0), self.anchors).where(plan.wall_window(before))
         rows = rows.drop("utc", "utc_us").join(self.store.namespaces.select("namespace", "schema_name"), "namespace", "left")
         on = ["metric"] if strict else ["schema_name", "metric"]
-        rows = rows.join(F.broadcast(states.select(*on).distinct()), on, "left_semi").drop("schema_name")
+        rows = rows.join(states.select(*on).distinct(), on, "left_semi").drop("schema_name")
+        if max_segments is not None and self.store.segments is None:
+            raise StoreError("this store has no table of segments")
         if max_segments is not None and q.start is not None:
             held = self.store.segments.where(plan.place(q)).withColumnRenamed("base_us", "at_us").where(plan.relative_window(Query(end=q.start))).withColumnRenamed("at_us", "base_us")
             first = newest_segments(held, max_segments).groupBy("namespace", "channel").agg(F.min(F.struct("boot", "base_us")).alias("__first"))
@@ -147,8 +184,6 @@ class Reader:
 
 def newest_segments(segments: DataFrame, k: int) -> DataFrame:
     """The k newest segments of each channel."""
-    from pyspark.sql import Window
-
     newest = Window.partitionBy("namespace", "channel").orderBy(F.desc("boot"), F.desc("base_us"))
     return segments.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= k).drop("age")
 

@@ -42,6 +42,17 @@ def paths(table: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(~is_open, F.col(c)) for c in ("root", "depth")}).drop("up")
 
 
+def recorded(works: DataFrame) -> DataFrame:
+    """Span records of works (boot, namespace, schema_name, work, within, span_kind, start_us, end_us, seq): a span_start each, and a span_end where end_us is known. work names a span within its run and within the one that holds it (null: a root), maybe in another namespace; ids are allocated here. A parent that isn't there gives a root."""
+    ids = allocated(works.withColumnRenamed("start_us", "at_us"))
+    parents = ids.select("boot", F.col("work").alias("within"), F.col("span").alias("parent"))
+    starts = ids.join(parents, ["boot", "within"], "left")
+    common = ["boot", "namespace", "schema_name", "span", "seq"]
+    first = starts.select(*common, "at_us", F.lit("span_start").alias("kind"), "span_kind", "parent")
+    last = ids.where("end_us is not null").select(*common, F.greatest("at_us", "end_us").alias("at_us"), F.lit("span_end").alias("kind"), "span_kind", F.lit(None).cast("bigint").alias("parent"))
+    return first.unionByName(last)
+
+
 def allocated(starts: DataFrame) -> DataFrame:
     """starts (boot, namespace, at_us, seq) with span: ids from 1 on, unique in the run. Ranks are taken within a namespace and offset by the counts of those before it, so no task sorts a whole run."""
     sizes = starts.groupBy("boot", "namespace").agg(F.count("*").alias("__n"))

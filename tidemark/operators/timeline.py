@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,39 @@ def run_bounds(anchored: DataFrame, q: Query) -> DataFrame:
     return anchored.withColumn("fit", fit).withColumn("low_us", F.when(F.col("fit") == "in", low)).withColumn("high_us", F.when(F.col("fit") == "in", high))
 
 
+def bands(anchored: DataFrame, q: Query, most: int = 32) -> list[Column]:
+    """Predicates on (boot, at_us) that together keep whatever a wall-clock window may select, each for a scan of its own: runs with a lower bound and runs without one. They name at most `most` bands of neighbouring runs, so that their size doesn't follow the number of runs; the exact bound is wall_window()'s."""
+    fit = run_bounds(anchored, q).where("fit = 'in'").withColumn("low_us", F.when(F.col("low_us") > 0, F.col("low_us")))
+    ends = fit.agg(F.min("boot").alias("a"), F.max("boot").alias("b")).first()  # two numbers
+    if ends["a"] is None:
+        return []
+    width = -(-(ends["b"] - ends["a"] + 1) // most)
+    band = F.call_function("div", F.col("boot") - ends["a"], F.lit(width).cast("bigint"))
+    bounded = F.col("low_us").isNotNull().alias("bounded")
+    every = lambda c: F.count(c) == F.count("*")
+    rows = fit.groupBy(band.alias("band"), bounded).agg(
+        F.min("boot").alias("a"), F.max("boot").alias("b"), F.min("low_us").alias("low"), F.when(every("high_us"), F.max("high_us")).alias("high")
+    ).collect()
+    out = []
+    for part in (False, True):
+        merged: list[list] = []  # bands one after another with the same bounds are one
+        for r in sorted((r for r in rows if r.bounded == part), key=lambda r: r.a):
+            if merged and merged[-1][2:] == [r.low, r.high]:
+                merged[-1][1] = r.b
+            else:
+                merged.append([r.a, r.b, r.low, r.high])
+        if merged:
+            out.append(reduce(Column.__or__, (_band(*m) for m in merged)))
+    return out
+
+
+def _band(a: int, b: int, low: int | None, high: int | None) -> Column:
+    out = F.col("boot") == a if a == b else F.col("boot").between(a, b)
+    if low is not None:
+        out = out & (F.col("at_us") >= low)
+    return out if high is None else out & (F.col("at_us") <= high)
+
+
 def unanchored_boots(records: DataFrame, anchored: DataFrame) -> DataFrame:
     """Runs of records that have no anchor (also those that no run table knows), each once, in order."""
     known = anchored.where("anchor_ms is not null").select("boot")

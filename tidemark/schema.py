@@ -12,22 +12,18 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.errors import SchemaError
 from tidemark.functions.render import placeholders
 from tidemark.model import ALARM, NORMAL, WARNING
 
 SEVERITY = {"normal": NORMAL, "warn": WARNING, "alarm": ALARM}
-#: Declarations in all schemas together; it bounds what joins broadcast to some tens of megabytes.
-MOST_ROWS = 200_000
 INTEGRAL = ("i64", "u64", "bool")
 VTYPES = ("f32", "f64", *INTEGRAL, "blob")
 
 
-class SchemaError(ValueError):
-    """A schema or a limit breaks a rule; the message says which."""
-
-
 @dataclass(frozen=True)
 class Range:
     """Inclusive bounds; None is open."""
@@ -205,31 +201,37 @@ class Schema:
 
 @dataclass(frozen=True)
 class Dimensions:
-    """What schemas declare, as tables. Joins broadcast them: dimensions() refuses more than MOST_ROWS rows."""
+    """What schemas declare, as tables of known size, so that Spark's size check picks the joins with them."""
 
     events: DataFrame
     metrics: DataFrame
     states: DataFrame
     spans: DataFrame
+    versions: DataFrame
+
+
+_STRING, _INT, _LONG, _DOUBLE = pa.string(), pa.int32(), pa.int64(), pa.float64()
+_KEY = {"schema_name": _STRING}
+_EVENTS = _KEY | {"event": _INT, "name": _STRING, "level": _INT, "store": _STRING, "tags": pa.list_(_STRING)}
+_METRICS = _KEY | {"metric": _INT, "metric_name": _STRING, "declared_vtype": _STRING, "store": _STRING, "unit": _STRING, "tags": pa.list_(_STRING), "metric_kind": _STRING}
+_METRICS |= {c: _DOUBLE for c in ("warn_min", "warn_max", "alarm_min", "alarm_max")}
+_STATES = _KEY | {"metric": _INT, "state_code": _LONG, "state": _STRING, "state_severity": _INT}
+_SPANS = _KEY | {"span_kind": _INT, "kind_name": _STRING, "store": _STRING}
+_VERSIONS = _KEY | {"version": _INT}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], columns: dict[str, pa.DataType]) -> DataFrame:
+    """rows as a table that the driver holds: Spark knows its size, and no task makes it."""
+    schema = pa.schema(list(columns.items()))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(columns), schema.types, strict=True)], schema=schema))
 
 
 def dimensions(spark: SparkSession, schemas: list[Schema]) -> Dimensions:
-    declared = sum(len(s.events) + len(s.spans) + sum(1 + len(m.states) for m in s.metrics) for s in schemas)
-    if declared > MOST_ROWS:
-        raise SchemaError(f"{declared} declarations are more than {MOST_ROWS}; read with fewer schemas at a time")
     bounds = lambda m: (None if x is None else float(x) for x in (m.warn.low, m.warn.high, m.alarm.low, m.alarm.high))
     return Dimensions(
-        spark.createDataFrame(
-            [(s.name, e.id, e.name, e.level, e.store, list(e.tags)) for s in schemas for e in s.events],
-            "schema_name string, event int, name string, level int, store string, tags array<string>",
-        ),
-        spark.createDataFrame(
-            [(s.name, m.id, m.name, m.vtype, m.store, m.unit, list(m.tags), m.kind, *bounds(m)) for s in schemas for m in s.metrics],
-            "schema_name string, metric int, metric_name string, declared_vtype string, store string, unit string, tags array<string>, metric_kind string, warn_min double, warn_max double, alarm_min double, alarm_max double",
-        ),
-        spark.createDataFrame(
-            [(s.name, m.id, t.code, t.name, SEVERITY[t.severity]) for s in schemas for m in s.metrics for t in m.states],
-            "schema_name string, metric int, state_code bigint, state string, state_severity int",
-        ),
-        spark.createDataFrame([(s.name, x.id, x.name, x.store) for s in schemas for x in s.spans], "schema_name string, span_kind int, kind_name string, store string"),
+        local_table(spark, [(s.name, e.id, e.name, e.level, e.store, list(e.tags)) for s in schemas for e in s.events], _EVENTS),
+        local_table(spark, [(s.name, m.id, m.name, m.vtype, m.store, m.unit, list(m.tags), m.kind, *bounds(m)) for s in schemas for m in s.metrics], _METRICS),
+        local_table(spark, [(s.name, m.id, t.code, t.name, SEVERITY[t.severity]) for s in schemas for m in s.metrics for t in m.states], _STATES),
+        local_table(spark, [(s.name, x.id, x.name, x.store) for s in schemas for x in s.spans], _SPANS),
+        local_table(spark, [(s.name, s.version) for s in schemas], _VERSIONS),
     )

@@ -18,18 +18,22 @@ def live(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def _clamp(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else 0
-    rows = pd.concat(batches).sort_values("seq", kind="stable")
-    rows["at_us"] = rows["at_us"].clip(lower=last).cummax()
-    state.update((int(rows["at_us"].iloc[-1]),))
-    yield rows
-
-
-def monotone(records: DataFrame) -> DataFrame:
-    """The streaming form of ingest.monotone: late records move up to their channel's latest time, over batches too. State: one number for each (namespace, channel, boot)."""
+def monotone(records: DataFrame, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """The streaming form of ingest.monotone: late records move up to their channel's latest time, over batches too. State: one number for each (namespace, channel, boot) that had records in the last idle_ms; a run that was silent for longer starts anew."""
     schema = records.schema
-    return records.groupBy("namespace", "channel", "boot").applyInPandasWithState(_clamp, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+    def clamp(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else 0
+        rows = pd.concat(batches).sort_values("seq", kind="stable")
+        rows["at_us"] = rows["at_us"].clip(lower=last).cummax()
+        state.update((int(rows["at_us"].iloc[-1]),))
+        state.setTimeoutDuration(idle_ms)
+        yield rows
+
+    return records.groupBy("namespace", "channel", "boot").applyInPandasWithState(clamp, schema, "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def counts(records: DataFrame, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
