@@ -217,6 +217,18 @@ def test_passages_need_the_search(spark, monkeypatch):
     assert owners() == {fm_index.FMIndex.NONE}
 
 
+def test_prose_of_other_languages_is_kept(spark):
+    texts = {
+        1: "Старый маяк стоит на краю мыса и каждую ночь посылает свой свет далеко в море, чтобы рыбаки могли найти дорогу домой. " * 1 + "Зимой волны поднимаются до самых окон, а летом сюда приезжают дети, собирают камни и слушают рассказы смотрителя о кораблях, бурях, китах и далёких островах, где никогда не бывает снега и где люди говорят на языке, которого здесь никто не понимает.",
+        2: "Το παλιό σπίτι βρίσκεται κοντά στη θάλασσα και κάθε πρωί ο ήλιος μπαίνει από τα μεγάλα παράθυρα του δωματίου όπου η γιαγιά μου έφτιαχνε ψωμί για όλη την οικογένεια όταν ήμασταν μικρά παιδιά και παίζαμε στον κήπο με τα σκυλιά μέχρι να νυχτώσει και να μας φωνάξει η μητέρα μας να γυρίσουμε πίσω για φαγητό μαζί με όλους τους γείτονες",
+        3: "W małym mieście nad rzeką żyła kobieta, która piekła chleb i sprzedawała go na rynku każdego ranka. Ludzie mówili, że w jej chlebie jest coś niezwykłego, i przychodzili z daleka, żeby go kupić. Nie znała nikogo z rodziny, ale na święta zawsze zapraszała sąsiadów do stołu, na którym stały miód, ser i gorąca zupa z grzybów.",
+        4: " ".join(f"zq{k}x" for k in range(80)),
+    }
+    rows = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame([*texts.items()], "doc_id bigint, text string")).collect()}
+    assert {i: (r.kept, r.failed_rules) for i, r in rows.items()} == {1: (True, []), 2: (True, []), 3: (True, []), 4: (False, ["stop_words"])}
+    assert all(r.n_words >= 50 for r in rows.values())
+
+
 def test_rules(docs, empty):
     rows = quality_rules.judge(docs).collect()
     assert {r.doc_id: (r.n_words, r.n_dup_lines, r.n_repeat_words) for r in rows} == {i: brute.repeats(t) for i, t in ROWS} and len(rows) == len(ROWS)

@@ -35,13 +35,40 @@ def test_pages_without_evidence_stay(spark):
     rows = url_filter.judge(spark.createDataFrame([(u, "own") for u in urls], "url string, __none string"), URL_RULES).collect()
     got = {(r.host, r.path.split("/")[1]): (r.verdict, r.template.split("/")[1]) for r in rows}
     for host in ("a.net", "b.net"):
-        assert got[host, "es"] == got[host, "fr"] == ("block", "~")
+        assert got[host, "es"] == got[host, "fr"] == ("block", "~es")
         assert got[host, "en"] == ("allow", "en") and got[host, "de"] == ("allow", "de")
     assert got["c.org", "en"] == ("allow", "en") and got["c.org", "de"] == ("allow", "de")
     # Every rule blocks here, so the overall share alone would block a host without labels.
     assert all(r.rule is not None for r in rows if r.verdict == "block")
 
 
+def test_branches_that_differ_from_all_others_together(spark):
+    """Of four branches two are blocked and two allowed: each two merge, though both differ from the pool; one without enough labels doesn't."""
+    rules = [url_filter.UrlRule("block", "h.org/a/"), url_filter.UrlRule("block", "h.org/b/"), url_filter.UrlRule("allow", "h.org/c/"), url_filter.UrlRule("allow", "h.org/d/"), url_filter.UrlRule("block", "h.org/e/")]
+    urls = [f"http://h.org/{c}/{w}" for c in "abcd" for w in ("one", "two", "three", "four", "five", "six")] + ["http://h.org/e/one", "http://h.org/e/two", "http://h.org/f"]
+    rows = url_filter.judge(spark.createDataFrame([(u, "own", 1.0) for u in urls], "url string, template string, purity double"), rules).collect()
+    assert {(r.path.split("/")[1], r.template.split("/")[1]) for r in rows} == {("a", "~a"), ("b", "~a"), ("c", "~c"), ("d", "~c"), ("e", "e"), ("f", "f")}
+
+
+def test_deep_paths_and_repeated_rows_against_sql(spark, tmp_path):
+    import random
+
+    from tests.oracle import assert_same
+    from tidemark.llm import oracle
+
+    r = random.Random(8)
+    urls = [None, "", "x", "http://", "http:///a", "http://trap.net/" + "es/" * 60, "http://trap.net/" + "es/" * 61, "http://trap.net/" + "/".join(map(str, range(40)))]
+    for host in ("a.com", "b.net", "c.org", "Deep.Example.com", "e..net", ".net"):
+        urls += [f"http://{host}/" + "/".join(r.choice(("es", "fr", "en", "p1", "p22", "x")) for _ in range(r.choice((1, 2, 3, 4, 25)))) for _ in range(20)]
+        urls += [f"https://{host}/{r.choice(('es', 'fr', 'en'))}/{r.choice('abcdefghij')}{r.choice('klmnop')}/{k}?q" for k in range(80)]
+    rows = [(i, u) for i, u in enumerate(urls * 2)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    got = url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).withColumn("purity", url_filter.F.round("purity", 6)).drop("url")
+    assert_same(got, oracle.url_filter(URL_RULES), str(tmp_path))
+    assert got.where("length(template) > 100").count() == 4
+
+
 def test_archives_round_trip(spark):
     long, other = "x" * 2000, "\x00\r\n\r\nWARC/1.1\r\n" * 200
     rows = [(1, "http://a/", long), (2, None, long), (3, "u\nv", "é" * 700), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (None, "u", long), (7, "u", "é" * 700), (7, "u", other), (8, "u", "y" * 999)]

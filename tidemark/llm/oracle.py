@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemark.llm.decontam import SLOP
 from tidemark.llm.license_scan import TEMPLATES, THRESHOLD
 from tidemark.llm.quality_rules import RULES, STOP_WORDS, Rule
-from tidemark.llm.url_filter import MAX_LEVELS, TreeSettings, UrlRule
+from tidemark.llm.url_filter import TreeSettings, UrlRule
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -28,35 +28,43 @@ from k left join o using (key) group by doc_id"""
 
 
 def url_filter(rules: list[UrlRule], s: TreeSettings = TreeSettings()) -> str:
-    when = " ".join(f"when (host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}') then '{r.verdict} {r.prefix}'" for r in sorted(rules, key=lambda r: -len(r.prefix)))
-    out = [
-        f"p0 as (select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end, '') as rest from pages)",
-        "p1 as (select *, regexp_extract(rest, '^[^/?#]*') as raw from p0)",
-        f"p2 as (select page_id, {_LOWER.format('raw')} as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from p1)",
-        f"p3 as (select *, case {when} end as fit, string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') as parts from p2)",
-        f"rows as (select *, split_part(fit, ' ', 1) as label, split_part(fit, ' ', 2) as rule, case when len(parts) <= {MAX_LEVELS} then parts else list_append(parts[1:{MAX_LEVELS - 1}], array_to_string(parts[{MAX_LEVELS}:], '/')) end as segs from p3)",
-        "t0 as (select host, segs, count(*) as pages, count(label) as labels, count(*) filter (where label = 'block') as blocks, '' as template from rows group by host, segs)",
-    ]
-    for k in range(MAX_LEVELS):
-        out += [
-            f"k{k} as (select host, template, segs[{k + 1}] as part, sum(pages) as pages, sum(labels) as labels, sum(blocks) as blocks from t{k} where segs[{k + 1}] is not null group by all)",
-            f"n{k} as (select host, template, count(*) as kids, sum(pages) as pages, sum(labels) as labels, sum(blocks) as blocks from k{k} group by all)",
-            f"""s{k} as (select k.host, k.template, part, case when kids >= {s.wildcard} and n.pages <= {s.rare} * kids then '*'
-  when kids > 1 and coalesce(case when k.labels > 0 then abs(k.blocks / k.labels - case when n.labels > 0 then n.blocks / n.labels end) end
-    <= {s.z} * sqrt((n.blocks / nullif(n.labels, 0)) * (1 - n.blocks / nullif(n.labels, 0)) / k.labels), true) then '~' else part end as step from k{k} k join n{k} n using (host, template))""",
-            f"t{k + 1} as (select t.host, segs, pages, labels, blocks, case when step is null then template else template || '/' || step end as template from t{k} t left join s{k} s using (host, template) where s.part is not distinct from t.segs[{k + 1}] or t.segs[{k + 1}] is null group by all)",
-        ]
-        # Rows without a part at this level keep their template once.
-        out[-1] = f"t{k + 1} as (select t.host, t.segs, t.pages, t.labels, t.blocks, case when s.step is null then t.template else t.template || '/' || s.step end as template from t{k} t left join s{k} s on s.host = t.host and s.template = t.template and s.part = t.segs[{k + 1}])"
-    last, w = f"t{MAX_LEVELS}", s.weight
-    out += [
-        f"prior as (select coalesce(sum(blocks) / nullif(sum(labels), 0), 0) as p from {last})",
-        f"anywhere as (select template, (sum(blocks) + {w} * any_value(p)) / (sum(labels) + {w}) as common from {last}, prior group by template)",
-        f"own as (select host, template, (sum(blocks) + {w} * any_value(common)) / (sum(labels) + {w}) as purity from {last} join anywhere using (template) group by host, template)",
-    ]
-    return "with " + ",\n".join(out) + f"""
-select page_id, r.host, path, rule, coalesce(label, case when purity >= {s.block_from} then 'block' else 'allow' end) as verdict, t.template, round(purity, 6) as purity
-from rows r join {last} t on r.host = t.host and r.segs = t.segs join own o on o.host = t.host and o.template = t.template"""
+    parts = [(r, *r.prefix.partition("/")[::2]) for r in sorted(rules, key=lambda r: (-len(r.prefix), r.prefix))]
+    when = " ".join(f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '/{path}') then '{r.verdict} {r.prefix}'" for r, host, path in parts)
+    node = "host, template"
+    return f"""with recursive p0 as (select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end, '') as rest from pages),
+p1 as (select *, regexp_extract(rest, '^[^/?#]*') as raw from p0),
+p2 as (select page_id, {_LOWER.format('raw')} as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from p1),
+p3 as (select *, case {when} end as fit, string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') as segs from p2),
+rows as (select *, split_part(fit, ' ', 1) as label, split_part(fit, ' ', 2) as rule from p3),
+shapes as (select host, segs, count(*) as pages, count(label) as labels, count(*) filter (where label = 'block') as blocks from rows group by host, segs),
+tree as (
+  select 0 as level, false as over, host, segs, pages, labels, blocks, '' as template from shapes
+  union all
+  (with o as (select * from tree where not over),
+  c as (select level, host, segs, pages, labels, blocks, template, count(*) over (partition by {node}) = 1 or len(segs) <= level as done from o),
+  f as (select level, host, segs, pages, labels, blocks, case when len(segs) > level then template || '/' || array_to_string(segs[level + 1:], '/') else template end as template from c where done),
+  g as (select *, segs[level + 1] as part from c where not done),
+  k0 as (select {node}, part, sum(pages) as pages, sum(labels) as labels, sum(blocks) as blocks from g group by {node}, part),
+  k as (select *, count(*) over (partition by {node}) >= {s.wildcard} and sum(pages) over (partition by {node}) <= {s.rare} * count(*) over (partition by {node}) as variable from k0),
+  d0 as (select *, blocks / labels as rate from k where not variable and labels >= {s.least}),
+  d1 as (select *, lag(labels) over w as l0, lag(blocks) over w as b0 from d0 window w as (partition by {node} order by rate, part)),
+  d2 as (select *, (blocks + b0) / (labels + l0) as p from d1),
+  d3 as (select *, case when rate - b0 / l0 <= {s.z} * sqrt(p * (1 - p) * (1 / labels + 1 / l0)) then 0 else 1 end as breaks from d2),
+  d4 as (select *, sum(breaks) over (partition by {node} order by rate, part) as branch from d3),
+  m as (select {node}, part, case when count(*) over b > 1 then '~' || min(part) over b end as branch from d4 window b as (partition by {node}, branch)),
+  s as (select k.host, k.template, k.part, case when variable then '*' else coalesce(branch, k.part) end as step from k left join m on k.host = m.host and k.template = m.template and k.part = m.part)
+  select level, true, host, segs, pages, labels, blocks, template from f
+  union all
+  select level + 1, false, g.host, segs, pages, labels, blocks, g.template || '/' || step from g join s on g.host = s.host and g.template = s.template and g.part = s.part)),
+t as (select * from tree where over),
+prior as (select coalesce(sum(blocks) / nullif(sum(labels), 0), 0) as prior from t),
+anywhere as (select template, (sum(blocks) + {s.weight} * any_value(prior)) / (sum(labels) + {s.weight}) as common from t, prior group by template),
+hosts as (select host, sum(labels) as host_labels from t group by host),
+sums as (select host, template, sum(labels) as evidence, sum(blocks) as blocks from t group by host, template),
+own as (select host, template, evidence, (blocks + {s.weight} * case when contains(template, '/~') or host_labels = 0 then prior else common end) / (evidence + {s.weight}) as purity
+  from sums join anywhere using (template) join hosts using (host), prior)
+select page_id, r.host, path, rule, coalesce(label, case when evidence > 0 and purity >= {s.block_from} then 'block' else 'allow' end) as verdict, t.template, round(purity, 6) as purity
+from rows r join t on r.host = t.host and r.segs = t.segs join own o on o.host = t.host and o.template = t.template"""
 
 
 def ngram_join() -> str:
@@ -122,14 +130,14 @@ select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(k
 def quality_rules(rules: tuple[Rule, ...] = RULES) -> str:
     def broken(r: Rule) -> str:
         sides = [f"100 * {r.count} < {r.per} * {r.low}" if r.low is not None else "", f"100 * {r.count} > {r.per} * {r.high}" if r.high is not None else ""]
-        return f"(({' or '.join(x for x in sides if x)}) and n_words >= {r.min_words})"
+        return f"(({' or '.join(x for x in sides if x)}) and n_words >= {r.min_words} and 100 * n_latin >= {r.min_latin} * word_chars)"
 
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     return f"""with d as (select doc_id, coalesce(text, '') as t, {_words('text')} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from documents),
 x as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) as i from d)),
 r as (select doc_id, count(distinct pos) as n from (select doc_id, unnest(range(i, i + 5)) as pos from (select *, count(*) over (partition by doc_id, s) as c from x) where c > 1) group by doc_id),
 s as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, len(l) as n_lines,
-  length(regexp_replace(t, '[^!]', '', 'g')) as n_exclaims, len(list_filter(w, lambda x: length(x) > 1 and regexp_matches(x, '\\p{{Lu}}') and not regexp_matches(x, '\\p{{Ll}}'))) as n_upper_words, len(list_filter(w, lambda x: lower(x) in ({stop}))) as n_stop_words,
+  length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as n_latin, length(regexp_replace(t, '[^!]', '', 'g')) as n_exclaims, len(list_filter(w, lambda x: length(x) > 1 and regexp_matches(x, '\\p{{Lu}}') and not regexp_matches(x, '\\p{{Ll}}'))) as n_upper_words, len(list_filter(w, lambda x: lower(x) in ({stop}))) as n_stop_words,
   len(list_filter(l, lambda x: ends_with(x, '...') or ends_with(x, '…'))) as n_ellipsis_lines, len(list_filter(l, lambda x: starts_with(x, '- ') or starts_with(x, '* ') or starts_with(x, '•'))) as n_bullet_lines from d left join r using (doc_id)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or {' or '.join(broken(r) for r in rules)}) as kept from b"""

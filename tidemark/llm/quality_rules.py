@@ -18,18 +18,31 @@ from tidemark.llm.common import SPACE, words
 
 WINDOW = 5
 
-# Frequent function words of English, German, French and Spanish.
-STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with",
-    "das", "der", "die", "ein", "ist", "mit", "und", "von", "zu",
-    "de", "des", "du", "et", "la", "le", "les", "un", "une",
-    "con", "el", "en", "las", "los", "que", "se", "y",
-)
+# Frequent function words of languages in Latin script.
+STOP_WORDS_BY_LANGUAGE = {
+    "English": ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"),
+    "German": ("das", "der", "die", "ein", "ist", "mit", "und", "von", "zu"),
+    "French": ("de", "des", "du", "et", "la", "le", "les", "un", "une"),
+    "Spanish": ("con", "el", "en", "las", "los", "que", "se", "y"),
+    "Italian": ("che", "di", "e", "il", "non", "per"),
+    "Portuguese": ("com", "da", "do", "em", "não", "os", "para"),
+    "Dutch": ("het", "een", "van", "dat", "niet", "op"),
+    "Polish": ("i", "na", "nie", "się", "w", "z", "że"),
+    "Czech": ("je", "na", "že", "v", "s"),
+    "Swedish, Danish and Norwegian": ("och", "og", "att", "at", "som", "på", "er", "är", "av", "af", "för", "det"),
+    "Finnish": ("ja", "on", "että", "ei", "oli"),
+    "Hungarian": ("az", "és", "hogy", "nem"),
+    "Romanian": ("și", "în", "nu", "cu", "pe"),
+    "Turkish": ("ve", "bir", "bu", "için", "da"),
+    "Indonesian": ("dan", "yang", "di", "untuk", "dengan", "ini"),
+    "Vietnamese": ("và", "của", "là", "các", "có", "không"),
+}
+STOP_WORDS = tuple(sorted({w for words in STOP_WORDS_BY_LANGUAGE.values() for w in words}))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a document if 100 * count leaves [low * per, high * per] and it has at least min_words words."""
+    """Rejects a document if 100 * count leaves [low * per, high * per] and it has at least min_words words and min_latin per cent of ASCII letters among the characters of its words."""
 
     name: str
     count: str
@@ -37,6 +50,7 @@ class Rule:
     low: int | None = None
     high: int | None = None
     min_words: int = 0
+    min_latin: int = 0
 
 
 #: Percentages. They were set on labelled rows so that no clean document is lost.
@@ -45,7 +59,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", high=25),
     Rule("exclamations", "n_exclaims", "n_words", high=30),
     Rule("upper_case", "n_upper_words", "n_words", high=60, min_words=20),
-    Rule("stop_words", "n_stop_words", "n_words", low=3, min_words=50),
+    Rule("stop_words", "n_stop_words", "n_words", low=3, min_words=50, min_latin=50),  # there are words for Latin script only
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=50),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=90),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", high=50, min_words=20),
@@ -59,7 +73,7 @@ def _without(text: Column, pattern: str) -> Column:
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts that the rules and the contract name (all bigint)."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "n_upper_words", "n_stop_words", "n_ellipsis_lines", "n_bullet_lines"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "n_upper_words", "n_stop_words", "n_ellipsis_lines", "n_bullet_lines", "n_latin"]
     kept = [c for c in docs.columns if c not in made]
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(*kept, words(F.col(text)).alias("__w"), F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^ \t-\r]")).alias("__l"))
@@ -81,6 +95,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": covered,
         "n_lines": F.size(lines),
+        "n_latin": _without(body, r"[^A-Za-z]+"),
         "n_exclaims": _without(body, r"[^!]+"),
         "n_upper_words": F.size(F.filter(w, lambda x: (F.length(x) > 1) & x.rlike(r"\p{Lu}") & ~x.rlike(r"\p{Ll}"))),
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
@@ -100,7 +115,7 @@ def violated(rules: tuple[Rule, ...] = RULES) -> Column:
             out = out | (count < per * r.low)
         if r.high is not None:
             out = out | (count > per * r.high)
-        return out & (F.col("n_words") >= r.min_words)
+        return out & (F.col("n_words") >= r.min_words) & (100 * F.col("n_latin") >= r.min_latin * F.col("word_chars"))
 
     return F.array_compact(F.array(*(F.when(broken(r), F.lit(r.name)) for r in rules)))
 
