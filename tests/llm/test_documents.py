@@ -346,3 +346,54 @@ def test_groups_of_tables_that_repeat(spark, monkeypatch):
     rows = [(n * 100 + k, t) for n in range(3) for k, t in enumerate(base)] + [(1000, "")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()} == brute.groups(rows)
+
+
+def test_model_files_say_what_they_are(tmp_path):
+    """Files made by hand: field numbers and values of the format, nothing else."""
+    from tidemark.llm.sentencepiece_codec import _model_kind
+
+    def model(trainer=b"", normaliser=b"", pieces=b""):
+        path = tmp_path / "m"
+        path.write_bytes(pieces + b"\x12" + bytes([len(trainer)]) + trainer + b"\x1a" + bytes([len(normaliser)]) + normaliser)
+        return str(path)
+
+    plain = b"\x20\x00"  # white space is not trimmed
+    assert _model_kind(model(b"\x18\x02", plain)) == ("bpe", True) and _model_kind(model(b"", plain + b"\x18\x00")) == ("unigram", False)
+    for refused in (model(b"\x18\x03", plain), model(b"\x18\x02"), model(b"\x18\x02", plain + b"\x12\x01x"), model(b"\x18\x02", plain, b"\x0a\x02\x18\x04"), model(b"\xc0\x01\x01", plain)):
+        with pytest.raises(ValueError):
+            _model_kind(refused)
+    assert _model_kind(TOKENIZER)[0] == "bpe"
+
+
+def test_split_search_and_traversal_against_plain_versions():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x, y = np.round(r.normal(size=(300, 3)), 1), r.integers(0, 2, 300).astype(float)
+    y[x[:, 1] > 0.3] = 1
+    model = quality_gbt.Boosted(depth=3, n_trees=5, bins=16, least=10).fit(x, y)
+
+    def walk(row):
+        total = model.base
+        for feature, threshold, value in zip(model.feature, model.threshold, model.value, strict=True):
+            at = 0
+            while feature[at] >= 0:
+                at = 2 * at + 1 + int(row[feature[at]] > threshold[at])
+            total += value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.score(x), [walk(row) for row in x])
+    # The first split is the best of all by a plain search over rows.
+    p = 1 / (1 + np.exp(-model.base))
+    g, h = p - y, np.full(300, p * (1 - p))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + model.ridge)
+    best = max((score(x[:, j] <= c) + score(x[:, j] > c), j, c) for j in range(3) for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1])) if 10 <= (x[:, j] <= c).sum() <= 290)
+    first = x[:, model.feature[0, 0]] <= model.threshold[0, 0]
+    assert np.isclose(score(first) + score(~first), best[0])
+
+
+def test_scores_of_repeated_and_very_long_rows(spark):
+    rows = [(1, "the word " * 30_000), (1, "the word " * 30_000), (2, "a"), (2, "b c d"), (None, None)]
+    out = quality_gbt.classify(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")).collect()
+    assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
+    assert len({r.score for r in out if r.doc_id == 1}) == 1 and [r.held_out for r in out if r.doc_id is None] == [False]

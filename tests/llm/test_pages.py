@@ -189,3 +189,27 @@ def test_pipeline_is_its_stages(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id: r.ids for r in rows} == {i: library.encode(t) for i, t in texts.items()}
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in rows) and 0 < len(rows) < docs.count()
+
+
+def test_pipeline_on_odd_rows_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    prose = lambda k, n=30: " ".join(f"the {w}{k}x{j} of" for j, w in enumerate(("house", "river", "stone", "cloud") * 9))[: n * 12]
+    leaked = " ".join(f"bench{k} the" for k in range(20))
+    rows = [
+        (1, prose(1)), (2, None), (3, ""), (4, prose(1)), (5, prose(5)), (5, prose(5)), (6, leaked + " " + prose(6, 8)), (7, "a few words"),
+        (None, prose(8)), (None, leaked), (9, prose(9) + "\n" + "this line is shared by two of them and long"), (10, "This line is shared by two of them and long "), (11, prose(11, 5) * 200),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), -1, -2, "k", "t") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int, n_lines int, n_dropped int, kept string, tag string")
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leaked), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = corpus_pipeline.written(stage(spark, table, str(tmp_path)))
+        assert table.columns == docs.columns and {(r.n_lines, r.n_dropped, r.kept, r.tag) for r in table.collect()} == {(-1, -2, "k", "t")}
+    assert sorted((r.doc_id or 0, r.n_chars == len(r.text)) for r in table.collect()) == [(0, True), (1, True), (4, True), (5, True), (5, True), (9, True), (10, True)]
+    assert [r.text for r in table.where("doc_id in (4, 10)").collect()] == ["", ""]
+    none = str(tmp_path / "none")
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{none}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0

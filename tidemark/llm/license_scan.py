@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 THRESHOLD = 80  # per cent
+BROADCAST = 1 << 21  # characters of templates up to which their bigrams are broadcast
 RESULT = ("licenses", "best_license", "best_dice", "n_passages")
 
 # Common licence notices and short licence texts.
@@ -90,6 +91,11 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]] = TEMPLA
     return rows.select("license", "variant", F.size("b").alias("n_template"), F.explode("b").alias("bigram"))
 
 
+def _sized(table: DataFrame, library: dict[str, list[str]]) -> DataFrame:
+    """table, made of library, to be broadcast if the library's texts are small."""
+    return F.broadcast(table) if sum(len(t) for texts in library.values() for t in texts) <= BROADCAST else table
+
+
 def windows(docs: DataFrame, lines: DataFrame, library: dict[str, list[str]], telling: list[str], threshold: int) -> DataFrame:
     """(doc_id, tag, unit, license, dice) of the windows of docs (doc_id, tag, low) that match; of overlapping ones that which shares most. lines: (doc_id, tag, units), hashes of what matches by itself."""
     hit, miss, least = 200 - threshold, threshold, threshold * F.col("n_template")
@@ -98,7 +104,7 @@ def windows(docs: DataFrame, lines: DataFrame, library: dict[str, list[str]], te
     pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
     words = docs.select("doc_id", "tag", normalised(F.col("low")).alias("w")).where(F.size("w") >= 2)
     key = ["doc_id", "tag", "license", "variant", "n_template"]
-    places = words.select("doc_id", "tag", F.posexplode(pairs(F.col("w"))).alias("pos", "bigram")).join(F.broadcast(table), "bigram")
+    places = words.select("doc_id", "tag", F.posexplode(pairs(F.col("w"))).alias("pos", "bigram")).join(_sized(table, library), "bigram")
     places = places.groupBy(*key, "bigram").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     before = F.concat(F.array(F.lit(-1)), F.slice("at", F.lit(1), F.size("at") - 1))
     steps = F.zip_with("at", before, lambda p, q: F.struct(p.alias("pos"), q.alias("prev")))
@@ -124,7 +130,7 @@ def windows(docs: DataFrame, lines: DataFrame, library: dict[str, list[str]], te
     spans = runs.select(*key, F.explode(F.aggregate(F.array_sort(F.flatten("steps")), none, step, emitted)).alias("span"))
     grams = table.groupBy("license", "variant").agg(F.collect_list("bigram").alias("own"))
     # Written first: where windows are few, as their size then shows, the texts needn't be shuffled to them.
-    spans = written(spans).join(F.broadcast(grams), ["license", "variant"]).select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "license", "n_template", "span.start", "span.stop", "own")
+    spans = written(spans).join(_sized(grams, library), ["license", "variant"]).select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "license", "n_template", "span.start", "span.stop", "own")
     spans = spans.join(docs, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("tag") == F.col("__tag"))).drop("__doc", "__tag")
     lines = lines.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "units")
     spans = spans.join(lines, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("tag") == F.col("__tag")), "left").drop("__doc", "__tag")
@@ -156,7 +162,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     # Distinct words less one bound the distinct bigrams from below.
     units = units.where((F.size("w") >= 2) & (F.size(F.array_distinct("w")) <= int(most) + 1)).select("doc_id", "tag", "unit", bigrams(F.col("w")).alias("b"))
     units = units.where(F.size("b").between(int(least), int(most))).select("doc_id", "tag", "unit", F.size("b").alias("n_own"), F.explode("b").alias("bigram"))
-    hits = units.join(F.broadcast(table), "bigram").groupBy("doc_id", "tag", "unit", "license", "variant", "n_own", "n_template").agg(F.count("*").alias("both"))
+    hits = units.join(_sized(table, templates), "bigram").groupBy("doc_id", "tag", "unit", "license", "variant", "n_own", "n_template").agg(F.count("*").alias("both"))
     hits = hits.where(200 * F.col("both") >= threshold * (F.col("n_own") + F.col("n_template")))
     hits = written(hits.select("doc_id", "tag", "unit", "license", (2 * F.col("both") / (F.col("n_own") + F.col("n_template"))).alias("dice")))
     texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.lower("text").alias("low"))

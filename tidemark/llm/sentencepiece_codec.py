@@ -49,6 +49,45 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _proto(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(field number, value) of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at, out, shift = at + 1, out | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 2: -1, 5: 4}[key & 7]
+            size = varint() if size < 0 else size
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def _model_kind(path: str) -> tuple[str, bool]:
+    """(bpe or unigram, whether a text gets a mark in front) of a model file."""
+    with open(path, "rb") as f:
+        fields = [*_proto(f.read())]
+    trainer = dict(x for n, v in fields if n == 2 for x in _proto(v))
+    normaliser = dict(x for n, v in fields if n == 3 for x in _proto(v))
+    kind = {1: "unigram", 2: "bpe"}.get(trainer.get(3, 1))
+    own = any(dict(_proto(v)).get(3, 1) == 4 for n, v in fields if n == 1)
+    # Fields of the normaliser: 2 a character map, 3 the mark in front, 4 trimmed white space, 5 spaces as marks; 24 of the trainer: marks as suffixes.
+    refused = {"kind": kind is None, "normaliser": bool(normaliser.get(2)), "trimmed white space": normaliser.get(4, 1) == 1, "spaces that are no marks": normaliser.get(5, 1) == 0, "user-defined pieces": own, "marks as suffixes": trainer.get(24, 0) == 1}
+    if any(refused.values()):
+        raise ValueError(f"{path}: not handled: {', '.join(k for k, v in refused.items() if v)}")
+    return kind, normaliser.get(3, 1) == 1
+
+
 @dataclass
 class Pieces:
     """A model's vocabulary, in arrays."""
@@ -62,9 +101,11 @@ class Pieces:
     dummy_prefix: bool = True
 
     @classmethod
-    def load(cls, path: str, kind: str = "bpe", dummy_prefix: bool = True) -> Pieces:
+    def load(cls, path: str) -> Pieces:
+        """From a model file, which says what kind it is. ValueError for what isn't handled: word and character models, normalisers, trimmed white space, user-defined pieces, the mark as a suffix."""
         import sentencepiece
 
+        kind, dummy_prefix = _model_kind(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.vocab_size())
         is_byte = [i for i in ids if model.is_byte(i)]
