@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidemark import errors
 from tidemark.fixture import MODEM, RADIO, SCHEMAS, entries, store
 from tidemark.model import ERROR, as_entries
-from tidemark.operators import ingest, limits, spans, storage, timeline
+from tidemark.operators import ingest, limits, seeds, spans, storage, timeline
 from tidemark.operators.reader import Reader
 from tidemark.plans.query import Query
 from tidemark.schema import Range, Schema, SchemaError, dimensions
@@ -195,3 +195,36 @@ def test_kinds_of_errors(spark, tmp_path):
             parquet_store.add_namespace(spark, root, name, schema)
         assert isinstance(e.value, errors.StoreError) and e.value.breaks_contract == (kind is not errors.FromFuture) and not e.value.loses_record
     assert errors.VIOLATIONS["wrong_type"] == (True, True) and not errors.VIOLATIONS["unknown_span_kind"][0]
+
+
+def test_states_and_differences_over_slices_of_time(spark):
+    # Three series over two runs, with ties in time and gaps of many slices between samples.
+    times = [0, 0, 3, 9, 10, 11, 95, 100, 100, 101]
+    rows = [("n", c, m, b, t * (b + 1), i, float(i * i)) for m, c in ((1, "a"), (1, "b"), (2, "a")) for b in (0, 1) for i, t in enumerate(times)]
+    samples = spark.createDataFrame(rows, "namespace string, channel string, metric int, boot bigint, at_us bigint, seq bigint, number double")
+    series: dict = {}
+    for r in sorted(rows, key=lambda r: (r[4], r[1], r[5])):
+        series.setdefault((r[2], r[3]), []).append(r)
+    until, steps = {}, {}
+    for chain in series.values():
+        for before, r, after in zip([None, *chain], chain, [*chain[1:], None]):
+            until[r] = after and after[4]
+            steps[r] = (r[6] - before[6], r[4] - before[4]) if before else (None, None)
+    for slice_us in (1, 10, 1000):
+        assert {tuple(r)[:-1]: r.until_us for r in seeds.holding(samples, slice_us).collect()} == until
+        assert {tuple(r)[:-2]: (r.delta, r.delta_us) for r in seeds.derivative(samples, slice_us).collect()} == steps
+    assert seeds.holding(samples.limit(0)).count() == 0
+
+
+def test_entry_stands_without_the_training_data_package(monkeypatch):
+    import importlib.util
+
+    import __spark_entry__
+
+    find = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None if name.startswith("corpus_pipeline") else find(name))
+    spec = find("__spark_entry__")
+    entry = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(entry)
+    assert "flagship" in entry.queries() and not any(q.startswith("op") for q in entry.queries())
+    assert set(entry.queries()) <= set(__spark_entry__.queries()) and set(entry.oracle_sql()) == set(entry.queries())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = ("namespace", "channel", "metric")
+SLICE_US = 6 * 3_600_000_000
 
 
 def last_states(samples: DataFrame) -> DataFrame:
@@ -14,16 +15,27 @@ def last_states(samples: DataFrame) -> DataFrame:
     return samples.groupBy(*SERIES).agg(F.max_by(row, F.struct("boot", "at_us", "seq")).alias("row")).select("row.*")
 
 
-def holding(samples: DataFrame) -> DataFrame:
+def _with_neighbour(samples: DataFrame, slice_us: int, step: int, fields: list[str]) -> DataFrame:
+    """samples with __other: fields of the next (step 1) or previous (step -1) sample of the series in the run. Neighbours are found within slices of time and, over the slices' own ends, from one slice to the next, so that no task takes a whole series. Samples of one time follow each other by channel and seq; one without namespace, metric or run has neighbours in its own slice only."""
+    slice_of = F.call_function("div", F.col("at_us"), F.lit(slice_us).cast("bigint"))
+    place, row, series = F.struct("at_us", "channel", "seq"), F.struct(*fields), ["namespace", "metric", "boot"]
+    rows = samples.withColumn("__slice", slice_of)
+    nearest = F.min_by(row, place) if step > 0 else F.max_by(row, place)
+    ends = rows.groupBy(*series, "__slice").agg(nearest.alias("__end"))
+    ends = ends.select(*series, "__slice", F.lead("__end", step).over(Window.partitionBy(*series).orderBy("__slice")).alias("__beyond"))
+    order = Window.partitionBy(*series, "__slice").orderBy("at_us", "channel", "seq")
+    return rows.join(ends, [*series, "__slice"], "left").withColumn("__other", F.coalesce(F.lead(row, step).over(order), "__beyond"))
+
+
+def holding(samples: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     """samples with until_us: when the next sample of the series in the run replaces the value (null: the last one)."""
-    order = Window.partitionBy("namespace", "metric", "boot").orderBy("at_us", "channel", "seq")
-    return samples.withColumn("until_us", F.lead("at_us").over(order))
+    return _with_neighbour(samples, slice_us, 1, ["at_us"]).select(*samples.columns, F.col("__other.at_us").alias("until_us"))
 
 
-def derivative(samples: DataFrame) -> DataFrame:
+def derivative(samples: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     """samples (with number) with delta and delta_us from the previous sample of the series in the run, for counters."""
-    order = Window.partitionBy("namespace", "metric", "boot").orderBy("at_us", "channel", "seq")
-    return samples.withColumn("delta", F.col("number") - F.lag("number").over(order)).withColumn("delta_us", F.col("at_us") - F.lag("at_us").over(order))
+    rows = _with_neighbour(samples, slice_us, -1, ["at_us", "number"])
+    return rows.select(*samples.columns, (F.col("number") - F.col("__other.number")).alias("delta"), (F.col("at_us") - F.col("__other.at_us")).alias("delta_us"))
 
 
 def rolled_up(samples: DataFrame, bucket_us: int) -> DataFrame:

@@ -240,9 +240,9 @@ def c9_just_before(spark, sf):
 
 
 # A segment goes if the next one of its channel and run begins before the window: strictly, as times may repeat.
-@query(f"select namespace, channel, boot, base_us from (select *, lead(base_us) over (partition by namespace, channel, boot order by base_us) as following from seg where boot=1) t where base_us<={3 * DAY_US} and coalesce(following>={2 * DAY_US}, true)")
+@query(f"select namespace, channel, boot, base_us from (select *, lead(base_us) over (partition by namespace, channel, boot order by base_us) as following from seg) t where base_us<={3 * DAY_US} and coalesce(following>={2 * DAY_US}, true)")
 def c17_segment_pruning(spark, sf):
-    return storage.in_window(segments(entries(spark, sf)).where("boot = 1"), 2 * DAY_US, 3 * DAY_US).select("namespace", "channel", "boot", "base_us")
+    return storage.in_window(segments(entries(spark, sf)), 2 * DAY_US, 3 * DAY_US).select("namespace", "channel", "boot", "base_us")
 
 
 @query("select namespace, channel, boot, base_us, bool_or(coalesce(event in (4,99),false)) or bool_or(coalesce(metric=2,false)) as touched from entries group by all")
