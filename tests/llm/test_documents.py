@@ -54,6 +54,21 @@ def test_lines_of_repeated_rows_and_rows_without_id(spark):
     assert sorted((r.doc_id or 0, r.n_dropped, r.text) for r in out) == [(0, 0, ""), (0, 0, "shared by all"), (1, 0, "a line of text\nshared by all"), (1, 0, "shared by all"), (2, 1, "own line here"), (2, 1, "own line here")]
 
 
+def test_lines_over_many_levels_and_jobs(spark, docs, tmp_path):
+    expected, at = brute.lines(ROWS), str(tmp_path / "runs")
+    of = lambda rows: {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in rows.collect()}
+    assert of(line_dedup.dedup(docs, batches=9, fanout=2)) == expected
+    # Two jobs on one folder; the first one is run twice, as after a failure, and a run that broke off is left out.
+    first, second = docs.where("doc_id < 120"), docs.where("doc_id >= 120")
+    line_dedup.dedup(first, batches=2, fanout=2, folder=at)
+    (tmp_path / "runs" / "0-4-broken").mkdir()
+    assert of(line_dedup.dedup(first, batches=3, fanout=2, folder=at)) | of(line_dedup.dedup(second, batches=3, fanout=2, folder=at)) == expected
+    held = line_dedup.LineRuns(spark, 2, at)
+    assert max(level for level, runs in enumerate(held.levels) if runs) >= 2 and all(len(runs) < 2 for runs in held.levels)
+    held.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 @pytest.mark.parametrize("shard", [96, 4])
 def test_groups(docs, empty, monkeypatch, shard):
     monkeypatch.setattr(ngram_join, "SHARD", shard)

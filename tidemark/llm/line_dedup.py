@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, drop, shared_folder, shuffle_partitions, written
+from tidemark.llm.common import ascii_lower, children, drop, shared_folder, shuffle_partitions, written
 
 MIN_CODE_POINTS = 10
 KEY = ["h1", "h2"]
@@ -34,19 +34,30 @@ def line_key(lowered: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs: key hash -> owner."""
+    """The levelled runs: key hash -> owner. Each is a subfolder of `folder` that names its level and number of buckets; a run whose writing broke off has no success mark and isn't opened. Without a folder the runs go when they are closed."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3) -> None:
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, fanout: int = 3, folder: str | None = None) -> None:
+        self.spark, self.fanout, self.stays = spark, fanout, folder is not None
+        self.folder = (folder or shared_folder(spark)).rstrip("/")
         self.levels: list[list[tuple[str, str]]] = []
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        name, path, n = f"line_run_{uuid.uuid4().hex}", shared_folder(self.spark), shuffle_partitions(self.spark)
-        rows.repartition(n, *KEY).write.bucketBy(n, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        for run in sorted(children(spark, self.folder)):
+            level, buckets, number = run.split("-")
+            if "_SUCCESS" in children(spark, f"{self.folder}/{run}"):
+                name, path = f"line_run_{number}_{uuid.uuid4().hex[:8]}", f"{self.folder}/{run}"
+                spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, owner BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+                self._hold(int(level), name, path)
+
+    def _hold(self, level: int, name: str, path: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append((name, path))
 
+    def _write(self, rows: DataFrame, level: int) -> None:
+        number, n = uuid.uuid4().hex, shuffle_partitions(self.spark)
+        name, path = f"line_run_{number}", f"{self.folder}/{level}-{n}-{number}"
+        rows.repartition(n, *KEY).write.bucketBy(n, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        self._hold(level, name, path)
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
 
@@ -58,22 +69,26 @@ class LineRuns:
         return keys.withColumn("held", F.coalesce(F.lit(None).cast("bigint"), *found)).drop(*found)
 
     def add(self, fresh: DataFrame) -> None:
-        """fresh: (h1, h2, owner) of keys that no run holds. Compacts each level that is full."""
+        """fresh: (h1, h2, owner) of keys that no run holds. Compacts each level that is full. Where an earlier compaction broke off, a key may be in two runs, with the same owner; it is one row again in the next."""
         self._write(fresh, 0)
-        for level, runs in enumerate(self.levels):
-            if len(runs) >= self.fanout:
-                self._write(reduce(DataFrame.unionByName, [self.spark.table(name) for name, _ in runs]).select(*KEY, "owner"), level + 1)
-                self._remove(runs)
+        level = 0
+        while level < len(self.levels):
+            if len(runs := self.levels[level]) >= self.fanout:
+                rows = reduce(DataFrame.unionByName, [self.spark.table(name) for name, _ in runs])
+                self._write(rows.groupBy(*KEY).agg(F.min("owner").alias("owner")), level + 1)
                 self.levels[level] = []
+                self._remove(runs)
+            level += 1
 
-    def _remove(self, runs: list[tuple[str, str]]) -> None:
+    def _remove(self, runs: list[tuple[str, str]], files: bool = True) -> None:
         for name, path in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            drop(self.spark, path)
+            if files:
+                drop(self.spark, path)
 
     def close(self) -> None:
         for runs in self.levels:
-            self._remove(runs)
+            self._remove(runs, not self.stays)
         self.levels = []
 
 
@@ -93,8 +108,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return keys.select("doc_id", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def dedup(docs: DataFrame, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """docs with text replaced by its kept lines, plus n_lines and n_dropped. Needs doc_id and text."""
+def dedup(docs: DataFrame, batches: int = 4, fanout: int = 3, folder: str | None = None) -> DataFrame:
+    """docs with text replaced by its kept lines, plus n_lines and n_dropped. Needs doc_id and text. folder: where runs stand between jobs (one job at a time); a later job's documents then also lose the lines that an earlier job's document with a smaller doc_id owns, and a job that failed can be run again."""
     spark = docs.sparkSession
     body = docs.withColumn("text", F.coalesce("text", F.lit("")))
     bounds = sorted(set(body.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))
@@ -104,9 +119,11 @@ def dedup(docs: DataFrame, batches: int = 4, fanout: int = 3) -> DataFrame:
     lines.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(lines.schema).parquet(path)
 
-    runs = LineRuns(spark, fanout)
-    lost = [add_batch(runs, lines.where(F.col("batch") == k).drop("batch")) for k in range(len(bounds) + 1)]
-    runs.close()
+    runs = LineRuns(spark, fanout, folder)
+    try:
+        lost = [add_batch(runs, lines.where(F.col("batch") == k).drop("batch")) for k in range(len(bounds) + 1)]
+    finally:
+        runs.close()
     lost = reduce(DataFrame.unionByName, lost).groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("__pos"))
     lost = lost.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "__pos")
 
