@@ -107,7 +107,7 @@ def test_stream_clamps_over_batches(spark, tmp_path):
         as_entries(part).coalesce(1).write.mode("append").parquet(source)
         stream = live.monotone(live.live(spark, source).select(*one.columns))
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        query.awaitTermination(120)
+        assert query.awaitTermination(120)
     assert sorted((r.seq, r.at_us) for r in spark.read.parquet(out).collect()) == [(1, 100), (2, 100), (3, 5), (4, 100), (5, 200)]
 
 
@@ -116,7 +116,7 @@ def test_stream_counts(spark, tmp_path):
     spark.createDataFrame([("n", "text", 10.0), ("n", "text", 20.0), ("n", "ext", 4000.0)], "namespace string, kind string, t double").select("namespace", "kind", F.col("t").cast("timestamp").alias("utc")).write.parquet(source)
     rows = spark.readStream.schema("namespace string, kind string, utc timestamp").parquet(source)
     query = live.counts(rows).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
     assert sorted((r.kind, r.n) for r in spark.table("counted").collect()) == [("ext", 1), ("text", 2)]
 
 

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from tidemark.fixture import DAY_US, MODEM, RADIO, RUN_US, SCHEMAS, conversations, entries, runs, segments, store
 from tidemark.functions import scalars
 from tidemark.functions.render import rendered
-from tidemark.model import ERROR, INFO, LEVELS, LOGS, SEVERITIES, TELEMETRY, WARN, code, label
+from tidemark.functions.scratch import shared_folder
+from tidemark.model import ENTRIES, ERROR, INFO, LEVELS, LOGS, SEVERITIES, TELEMETRY, WARN, as_entries, code, label
 from tidemark.operators import enrich, ingest, limits, seeds, spans, storage, timeline
 from tidemark.operators.reader import Reader, newest_segments
 from tidemark.plans import query as plan
 from tidemark.plans.query import NEWEST, OLDEST, BootTime, Query, Utc
 from tidemark.schema import Migration, Range, Schema, dimensions
+from tidemark.sources import parquet_store
+from tidemark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -649,4 +652,85 @@ def b12_places(spark, sf):
     return _reader(spark, sf).selected(Query()).groupBy("channel", "kind").agg(F.count("*").alias("n"), F.bool_and(named).alias("named"))
 
 
+# On disk: what the write side has stored, opened again.
+
+
+_STORED = ", k as (select * replace (max(at_us) over (partition by namespace,channel,boot order by seq) as at_us) from m where coalesce(event,0)<>99)"
+
+
+def _on_disk(spark: SparkSession, sf: str) -> str:
+    """The folder of a new store with all records that the schemas allow."""
+    root, source = shared_folder(spark), store(spark, sf)
+    parquet_store.create(spark, root)
+    by_name = {s.name: s for s in SCHEMAS}
+    for name, schema in source.namespaces.collect():  # the catalogue
+        parquet_store.add_namespace(spark, root, name, by_name[schema])
+    ingest.ingest(entries(spark, sf), _dims(spark), f"{root}/entries")
+    parquet_store.save_runs(*runs(spark), root, "0")
+    return root
+
+
+@query(f"{_STORED} select namespace, channel, boot, min(at_us) as min_us, max(at_us) as max_us, count(*) as n_records, true as own, false as damaged from k group by all")
+def w5_stored_segments(spark, sf):
+    """Files of an opened store by place; own: its identity is the one that its creation gave."""
+    root = _on_disk(spark, sf)
+    s, own = parquet_store.open_store(spark, root), parquet_store.create(spark, root)
+    places = s.segments.groupBy("namespace", "channel", "boot").agg(F.min("min_us").alias("min_us"), F.max("max_us").alias("max_us"), F.sum("n_records").alias("n_records"))
+    return places.withColumns({"own": F.lit(s.store_id == own), "damaged": F.lit(not Reader(s, SCHEMAS).damage().isEmpty())})
+
+
+@query(f"{_STORED} select {KEYS}, name, level, utc_us from (select k.*, r.anchor_ms*1000+r.init_us+at_us as utc_us from k join runs r on k.boot=r.boot) t where utc_us>={FROM.us + RUN_US // 3} and utc_us<={FROM.us + RUN_US + RUN_US // 2} and (kind<>'message' or level>=3)")
+def c6_stored_wall_window(spark, sf):
+    """A wall-clock window and a level over an opened store, where both prune partitions and row groups."""
+    q = Query().range(Utc(FROM.us + RUN_US // 3), Utc(FROM.us + RUN_US + RUN_US // 2)).min_level(INFO)
+    return Reader(parquet_store.open_store(spark, _on_disk(spark, sf)), SCHEMAS).query(q).entries.select(*KEY, "name", "level", "utc_us")
+
+
+@query(f"{_STORED} select namespace, schema_name, string_agg(distinct channel, ',' order by channel) as channels, true as has_bytes from k group by all")
+def a3_stored_namespaces(spark, sf):
+    out = Reader(parquet_store.open_store(spark, _on_disk(spark, sf)), SCHEMAS).namespaces()
+    return out.select("namespace", "schema_name", F.array_join("channels", ",").alias("channels"), (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query(f"{_STORED} select boot, count(*) as n from k group by boot")
+def a14_stored_without_runs(spark, sf):
+    """Run tables that aren't there are empty ones: records are read, and a wall-clock window names every run as unanchored."""
+    r = Reader(parquet_store.open_store(spark, _on_disk(spark, sf), version="none"), SCHEMAS)
+    return r.matched(Query()).groupBy("boot").agg(F.count("*").alias("n")).join(r.query(Query().since(FROM)).unanchored, "boot", "left_semi")
+
+
+# J. Streams, each over two arrivals of all records
+
+
+def _streamed(spark: SparkSession, records: DataFrame, started: Callable[[DataFrame, str, str], None]) -> str:
+    """Lets records arrive in two parts by seq; `started` runs a stream over what has come, with a folder for its output and one for its progress. Returns the output folder."""
+    source, out, progress = (shared_folder(spark) for _ in range(3))
+    middle = records.agg(F.call_function("div", F.max("seq"), F.lit(2).cast("bigint"))).first()[0]
+    for part in (records.where(F.col("seq") <= middle), records.where(F.col("seq") > middle)):
+        as_entries(part).write.mode("append").parquet(source)
+        started(live.live(spark, source, max_files=1_000_000), out, progress)
+    return out
+
+
+@query(SQL["f2_w12_monotone"].removeprefix(BASE))
+def j2_live_monotone(spark, sf):
+    late = entries(spark, sf).withColumn("at_us", F.col("at_us") + F.col("seq") * 7919 % 100_000 * 1_000_000)
+
+    def started(rows: DataFrame, out: str, progress: str) -> None:
+        clamped = live.monotone(rows.select(*KEY))
+        clamped.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+    return spark.read.schema(", ".join(f"{c} {ENTRIES[c]}" for c in KEY)).parquet(_streamed(spark, late, started))
+
+
+@query("select us//3600000000*3600000000 as from_us, namespace, kind, count(*) as n from entries group by all")
+def j1_live_counts(spark, sf):
+    def started(rows: DataFrame, out: str, progress: str) -> None:
+        counted = live.counts(rows.withColumn("utc", F.timestamp_micros(F.col("boot") * RUN_US + F.col("at_us") + FROM.us)))
+        save = lambda batch, _: batch.select(F.unix_micros("window.start").alias("from_us"), "namespace", "kind", "n").write.mode("overwrite").parquet(out)
+        counted.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+    return spark.read.parquet(_streamed(spark, entries(spark, sf), started))
+
+
 __all__ = ["QUERIES", "SQL", "plan"]

@@ -18,22 +18,20 @@ def live(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def monotone(records: DataFrame, idle_ms: int = 7 * 86_400_000) -> DataFrame:
-    """The streaming form of ingest.monotone: late records move up to their channel's latest time, over batches too. State: one number for each (namespace, channel, boot) that had records in the last idle_ms; a run that was silent for longer starts anew."""
+def monotone(records: DataFrame, runs: int = 16) -> DataFrame:
+    """The streaming form of ingest.monotone: late records move up to the latest time of their channel's run, over batches too. State: that time for the newest `runs` runs of each (namespace, channel), as a device is in one run at a time; a run older than these is clamped within its batch only."""
     schema = records.schema
 
     def clamp(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else 0
-        rows = pd.concat(batches).sort_values("seq", kind="stable")
-        rows["at_us"] = rows["at_us"].clip(lower=last).cummax()
-        state.update((int(rows["at_us"].iloc[-1]),))
-        state.setTimeoutDuration(idle_ms)
+        last = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.concat(batches).sort_values(["boot", "seq"], kind="stable")
+        rows["at_us"] = rows["at_us"].clip(lower=rows["boot"].map(last).fillna(0).astype("int64")).groupby(rows["boot"]).cummax()
+        last |= rows.groupby("boot")["at_us"].max().to_dict()
+        held = sorted(int(b) for b in last)[-runs:]
+        state.update((held, [int(last[b]) for b in held]))
         yield rows
 
-    return records.groupBy("namespace", "channel", "boot").applyInPandasWithState(clamp, schema, "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return records.groupBy("namespace", "channel").applyInPandasWithState(clamp, schema, "boots array<bigint>, lasts array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def counts(records: DataFrame, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
