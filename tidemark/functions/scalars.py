@@ -41,6 +41,11 @@ def saturating_subtract(a: Column, b: Column) -> Column:
     return F.greatest(F.try_subtract(a, b), F.lit(0))
 
 
+def saturating_multiply(a: Column, b: Column) -> Column:
+    """Product of two that aren't negative."""
+    return F.coalesce(F.try_multiply(a, b), F.when(a.isNotNull() & b.isNotNull(), F.lit(MAX_US)))
+
+
 def boot_time(boot: Column, at_us: Column) -> Column:
     """#3 01:02:03.456_789"""
     at = lambda unit: F.call_function("div", at_us, F.lit(unit).cast("bigint"))

@@ -497,8 +497,8 @@ def i5_zigzag(spark, sf):
 
 @query("select seq, case when at_us>9223372036854775807-seq*100000000000000 then 9223372036854775807 else at_us+seq*100000000000000 end as up, greatest(at_us-seq*100000000,0) as down from entries")
 def i9_saturating(spark, sf):
-    step = F.col("seq") * F.lit(100_000_000_000_000)
-    return entries(spark, sf).select("seq", scalars.saturating_add(F.col("at_us"), step).alias("up"), scalars.saturating_subtract(F.col("at_us"), F.col("seq") * 100_000_000).alias("down"))
+    step = lambda unit: scalars.saturating_multiply(F.col("seq"), F.lit(unit).cast("bigint"))
+    return entries(spark, sf).select("seq", scalars.saturating_add(F.col("at_us"), step(100_000_000_000_000)).alias("up"), scalars.saturating_subtract(F.col("at_us"), step(100_000_000)).alias("down"))
 
 
 @query("select seq, case when anchor_ms is not null and us-anchor_ms*1000-init_us>=0 then us-anchor_ms*1000-init_us end as rel, anchor_ms is not null as anchored from u")
