@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.model import ERROR, INFO, LOGS, SPANS, TELEMETRY, WARN, as_entries
+from tidemark.operators import reader as operators_reader
 from tidemark.operators.reader import Reader, Store
 from tidemark.plans.query import NEWEST, OLDEST, BootTime, Query, Utc
 from tidemark.schema import Event, Metric, Range, Schema, Span, State
@@ -94,6 +95,16 @@ def test_stream_is_query(reader):
     assert [r.seq for r in reader.stream(q)] == [r.seq for r in reader.query(q).entries.collect()]
 
 
+@pytest.mark.parametrize("q", [Query().order(OLDEST), Query().order(NEWEST), Query().order(NEWEST).limit(60), Query().group("none-")])
+def test_stream_sends_bounded_partitions(reader, monkeypatch, q):
+    sent = []
+    monkeypatch.setattr(operators_reader, "STREAMED", 7, raising=False)
+    monkeypatch.setattr(type(reader.store.entries), "toLocalIterator", lambda df, prefetchPartitions=False: sent.extend(df.rdd.glom().collect()) or (r for part in sent for r in part))
+    got = [(r.namespace, r.channel, r.seq) for r in reader.stream(q)]
+    assert got == [(r.namespace, r.channel, r.seq) for r in reader.query(q).entries.collect()]
+    assert sum(map(len, sent)) == len(got) and max(map(len, sent), default=0) <= 14
+
+
 def test_wall_window_is_relative_window(tables):
     r = Reader(tables(ANCHOR), [RADIO])
     base = ANCHOR * 1000 + 1_000_000

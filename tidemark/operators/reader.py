@@ -18,6 +18,7 @@ from tidemark.plans.query import NEWEST, Query
 from tidemark.schema import Schema, dimensions
 
 DAMAGE = "path string, offset bigint, reason string"
+STREAMED = 50_000  # records that a stream's partition has
 
 
 @dataclass
@@ -134,8 +135,12 @@ class Reader:
         return Result(entries, self.seeds(q), self.damage(), self.unanchored(q), q.most, found)
 
     def stream(self, q: Query) -> Iterator[Row]:
-        """The same records one by one, a partition at a time."""
-        return self.query(q).entries.toLocalIterator(prefetchPartitions=True)
+        """The same records one by one, a partition at a time. Partitions are ranges of the order with about STREAMED records each, as the driver holds one and the next."""
+        keys, found = plan.order_keys(q.direction), self._exact(q)
+        if q.most is not None:
+            found = found.orderBy(*keys).limit(q.most)
+        ranges = max(1, -(-found.count() // STREAMED))
+        return self._enriched(found).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).toLocalIterator(prefetchPartitions=True)
 
     def unanchored(self, q: Query) -> DataFrame:
         """Runs that a wall-clock window had to leave out, among the selected places."""
