@@ -1,3 +1,4 @@
+import re
 """Operators on documents against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import random
@@ -287,6 +288,17 @@ def test_licences_over_several_lines_and_inside_lines(spark):
     assert all(got[i][2] > 0.99 for i in (1, 2, 3, None, 7, 8))
 
 
+def test_no_licence_text_can_match_without_its_telling_stems():
+    texts = [t for variants in license_scan.bodies().values() for t in variants]
+    stems = license_scan.telling_stems(texts)
+    assert len(stems) < 200 and len({*stems}) == len(stems)
+    for text in texts:
+        words = re.findall(r"[^\W_]+", text.lower())
+        pairs = {*zip(words, words[1:])}
+        left = sum(not any(s in w for s in stems for w in p) for p in pairs)
+        assert 200 * left < license_scan.THRESHOLD * (left + len(pairs))
+
+
 def test_classifier_edges(docs, empty, spark):
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in ROWS[:20]] + [(None, None, None)], "doc_id bigint, quality int, toxic int")
     rows = quality_gbt.classify(docs, labels).collect()

@@ -7,7 +7,10 @@ these words can't share enough. Documents, then passages without such words leav
 templates in an equi-join on bigrams, in which the template side is a fixed list of a few kilobytes (its broadcast is bounded
 by the library), and only matches go on to an aggregation.
 
-Windows are found by alignment instead of by trying all: of a document with a telling word, each place of a template's bigram
+Texts that hold a telling word of either of two sets for the templates, or one of both the second set and those of the whole
+licence texts, are stored; all that follows reads these only.
+
+Windows are found by alignment instead of by trying all: of such a document each place of a template's bigram
 counts 200 - t, each other place -t (t in per cent), and one pass over these places gives the windows whose sum reaches t times
 the template's bigrams, which is the Dice bound itself (a bigram that the window has already counts nothing). A window that is
 mostly lines which match by themselves is left to these. Whole licence texts (BODIES) are compared with windows only.
@@ -20,6 +23,7 @@ templates go to the first name; other columns pass through unless they carry the
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import cache, reduce
 from pathlib import Path
 
@@ -52,6 +56,9 @@ TEMPLATES = {
 }
 
 
+EVERYDAY = {"always", "another", "around", "because", "become", "before", "between", "change", "during", "either", "except", "follow", "however", "itself", "matter", "others", "person", "provide", "really", "should", "through", "together", "unless", "whether", "within", "without"}
+
+
 def normalised(text: Column) -> Column:
     """Lower-cased words: runs of letters and digits of any script."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
@@ -68,22 +75,44 @@ def bodies() -> dict[str, list[str]]:
     return {f.stem: [f.read_text()] for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
+def _spare(n: int, threshold: int) -> int:
+    """Of a template's n bigrams, those that a match may lack."""
+    least = -(-n * threshold // (200 - threshold))  # bigrams that the smallest match has
+    return n - -(-threshold * (least + n) // 200)
+
+
+def _words_and_pairs(text: str) -> tuple[list[str], set[tuple[str, str]]]:
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    return words, {*zip(words, words[1:])}
+
+
 def telling_words(templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD, numbers: int = 6) -> list[str]:
     """Words of which every passage that matches some template holds at least one; a number counts as that many letters more."""
     found: set[str] = set()
     for text in (t for variants in templates.values() for t in variants):
-        words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
-        pairs = {*zip(words, words[1:])}
-        least = -(-len(pairs) * threshold // (200 - threshold))  # bigrams that the smallest match has
-        spare = len(pairs) - -(-threshold * (least + len(pairs)) // 200)  # template bigrams that a match may lack
+        words, pairs = _words_and_pairs(text)
         lost: set[tuple[str, str]] = set()
         for w in sorted({*words}, key=lambda w: (w not in found, -len(w) - numbers * w.isdigit(), w)):  # rare ones first: long words and numbers
-            if len(lost) <= spare:
+            if len(lost) <= _spare(len(pairs), threshold):
                 lost |= {p for p in pairs if w in p}
                 found.add(w)
     return sorted(found)
 
 
+def telling_stems(texts: list[str], threshold: int = THRESHOLD) -> list[str]:
+    """The same for long texts, few by taking the words of most bigrams first, and as parts of words: what holds none of these matches no text. Short and everyday words come last."""
+    found: list[str] = []
+    for text in sorted(texts, key=len):
+        words, pairs = _words_and_pairs(text)
+        count = Counter(w for p in pairs for w in {*p})
+        lost = {p for p in pairs if any(s in w for s in found for w in p)}
+        for w in sorted({*words}, key=lambda w: (len(w) < 6 or w in EVERYDAY, -count[w], w)):
+            if len(lost) <= _spare(len(pairs), threshold) and not any(s in w for s in found):
+                lost |= {p for p in pairs if w in p[0] or w in p[1]}
+                found.append(w)
+    return found
+
+
 def template_table(spark: SparkSession, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(license, variant, n_template, bigram): distinct bigrams of each template."""
     rows = spark.createDataFrame([(k, i, t) for k, v in templates.items() for i, t in enumerate(v)], "license string, variant int, t string")
@@ -96,11 +125,15 @@ def _sized(table: DataFrame, library: dict[str, list[str]]) -> DataFrame:
     return F.broadcast(table) if sum(len(t) for texts in library.values() for t in texts) <= BROADCAST else table
 
 
-def windows(docs: DataFrame, lines: DataFrame, library: dict[str, list[str]], telling: list[str], threshold: int) -> DataFrame:
+def _holds(text: Column, parts: list[str]) -> Column:
+    """Whether text holds one of parts anywhere."""
+    return F.exists(F.array(*(F.lit(p) for p in parts)), lambda p: F.contains(text, p)) if parts else F.lit(False)
+
+
+def windows(docs: DataFrame, lines: DataFrame, library: dict[str, list[str]], threshold: int) -> DataFrame:
     """(doc_id, tag, unit, license, dice) of the windows of docs (doc_id, tag, low) that match; of overlapping ones that which shares most. lines: (doc_id, tag, units), hashes of what matches by itself."""
     hit, miss, least = 200 - threshold, threshold, threshold * F.col("n_template")
     table = template_table(docs.sparkSession, library)
-    docs = docs.where(reduce(lambda x, w: x | F.contains("low", F.lit(w)), telling, F.lit(False)))
     pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
     words = docs.select("doc_id", "tag", normalised(F.col("low")).alias("w")).where(F.size("w") >= 2)
     key = ["doc_id", "tag", "license", "variant", "n_template"]
@@ -156,8 +189,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     telling = telling_words(templates, threshold)
     any_of = lambda c: reduce(lambda x, w: x | F.contains(c, F.lit(w)), telling, F.lit(False))
     # Both columns are a generator's output, so the filters on them don't lower-case the text once a word.
-    low = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.explode(F.array(F.lower("text"))).alias("low")).where(any_of(F.col("low")))
-    passages = low.select("doc_id", "tag", F.explode(F.array_distinct(F.concat(F.split("low", "\n"), F.array("low")))).alias("passage")).where(any_of(F.col("passage")))
+    low = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.explode(F.array(F.lower("text"))).alias("low"))
+    # What holds no word of each set can't match. Written once, as lines and, twice, windows read it.
+    long = [] if templates is not TEMPLATES else telling_stems([t for texts in bodies().values() for t in texts], threshold)
+    low = written(low.where(_holds(F.col("low"), telling_words(templates, threshold, numbers=-20)) & (_holds(F.col("low"), telling) | _holds(F.col("low"), long))))
+    passages = low.where(any_of(F.col("low"))).select("doc_id", "tag", F.explode(F.array_distinct(F.concat(F.split("low", "\n"), F.array("low")))).alias("passage")).where(any_of(F.col("passage")))
     units = passages.select("doc_id", "tag", F.xxhash64("passage").alias("unit"), normalised(F.col("passage")).alias("w"))
     # Distinct words less one bound the distinct bigrams from below.
     units = units.where((F.size("w") >= 2) & (F.size(F.array_distinct("w")) <= int(most) + 1)).select("doc_id", "tag", "unit", bigrams(F.col("w")).alias("b"))
@@ -165,9 +201,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     hits = units.join(_sized(table, templates), "bigram").groupBy("doc_id", "tag", "unit", "license", "variant", "n_own", "n_template").agg(F.count("*").alias("both"))
     hits = hits.where(200 * F.col("both") >= threshold * (F.col("n_own") + F.col("n_template")))
     hits = written(hits.select("doc_id", "tag", "unit", "license", (2 * F.col("both") / (F.col("n_own") + F.col("n_template"))).alias("dice")))
-    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.lower("text").alias("low"))
     lines = hits.groupBy("doc_id", "tag").agg(F.collect_set("unit").alias("units"))
-    hits = hits.unionByName(windows(texts, lines, library, telling_words(templates, threshold, numbers=-20), threshold))
+    hits = hits.unionByName(windows(low, lines, library, threshold))
     hits = hits.groupBy("doc_id", "tag", "unit").agg(F.min(F.struct((-F.col("dice")).alias("d"), F.col("license").alias("l"))).alias("best"))
     found = hits.groupBy("doc_id", "tag").agg(
         F.array_sort(F.collect_set("best.l")).alias("licenses"),
