@@ -1,7 +1,7 @@
-import re
 """Operators on documents against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import random
+import re
 
 import pytest
 
@@ -299,6 +299,12 @@ def test_no_licence_text_can_match_without_its_telling_stems():
         assert 200 * left < license_scan.THRESHOLD * (left + len(pairs))
 
 
+def test_a_licence_text_without_the_templates_words_is_found(spark):
+    words = [w for w in re.findall(r"[^\W_]+", license_scan.bodies()["CC0-1.0"][0].lower()) if not any(t in w for numbers in (6, -20) for t in license_scan.telling_words(numbers=numbers))]
+    (row,) = license_scan.scan(spark.createDataFrame([(1, "prose stands here " + " ".join(words))], "doc_id bigint, text string")).collect()
+    assert row.licenses == ["CC0-1.0"] and row.n_passages == 1
+
+
 def test_classifier_edges(docs, empty, spark):
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in ROWS[:20]] + [(None, None, None)], "doc_id bigint, quality int, toxic int")
     rows = quality_gbt.classify(docs, labels).collect()
