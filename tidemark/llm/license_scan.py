@@ -7,8 +7,8 @@ these words can't share enough. Documents, then passages without such words leav
 templates in an equi-join on bigrams, in which the template side is a fixed list of a few kilobytes (its broadcast is bounded
 by the library), and only matches go on to an aggregation.
 
-Texts that hold a telling word of either of two sets for the templates, or one of both the second set and those of the whole
-licence texts, are stored; all that follows reads these only.
+Texts that hold telling words of both of two sets for the templates, or one for the whole licence texts, are stored; all that
+follows reads these only.
 
 Windows are found by alignment instead of by trying all: of such a document each place of a template's bigram
 counts 200 - t, each other place -t (t in per cent), and one pass over these places gives the windows whose sum reaches t times
@@ -190,9 +190,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     any_of = lambda c: reduce(lambda x, w: x | F.contains(c, F.lit(w)), telling, F.lit(False))
     # Both columns are a generator's output, so the filters on them don't lower-case the text once a word.
     low = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.explode(F.array(F.lower("text"))).alias("low"))
-    # What holds no word of each set can't match. Written once, as lines and, twice, windows read it.
+    # What holds no word of each set of the templates and none of the whole texts can't match. Written once, as lines and, twice, windows read it.
     long = [] if templates is not TEMPLATES else telling_stems([t for texts in bodies().values() for t in texts], threshold)
-    low = written(low.where(_holds(F.col("low"), telling_words(templates, threshold, numbers=-20)) & (_holds(F.col("low"), telling) | _holds(F.col("low"), long))))
+    low = written(low.where((_holds(F.col("low"), telling) & _holds(F.col("low"), telling_words(templates, threshold, numbers=-20))) | _holds(F.col("low"), long)))
     passages = low.where(any_of(F.col("low"))).select("doc_id", "tag", F.explode(F.array_distinct(F.concat(F.split("low", "\n"), F.array("low")))).alias("passage")).where(any_of(F.col("passage")))
     units = passages.select("doc_id", "tag", F.xxhash64("passage").alias("unit"), normalised(F.col("passage")).alias("w"))
     # Distinct words less one bound the distinct bigrams from below.
